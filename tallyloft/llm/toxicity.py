@@ -1,7 +1,7 @@
 """Toxicity by a bag of subword embeddings under a linear softmax.
 
-A bag is a run of ``window`` words; it is the mean of the embeddings of the hashed character n-grams
-(3 to 5, with word ends) of its words, so a misspelling shares most vectors with what it misspells.
+A bag is a run of ``window`` different words of the text, in the order in which they first occur; it is the mean of the embeddings of the hashed character n-grams
+(3 to 6, with word ends) of its words, so a misspelling shares most vectors with what it misspells.
 Embeddings and softmax are trained jointly in numpy by Adagrad. Labels belong to documents: in
 training a document leans to its most toxic bags, and its score is that of its most toxic bag, so a short insult in a very long text is not averaged away. Whole texts are scored, bag by bag.
 
@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 from tallyloft.llm.common import uniform
 from tallyloft.llm.grams import buckets, chunks, inside, letter_table, stream
 
-ORDERS = (3, 4, 5)
+ORDERS = (3, 4, 5, 6)
+FULL = 60  # n-grams of a full bag; a bag with fewer is filled up with zero vectors
 
 
 @dataclass
@@ -37,10 +38,10 @@ class ToxicityModel:
     def logits(self, texts: list[str | None], letters: np.ndarray) -> np.ndarray:
         """The logit of the most toxic bag of each text; the bias for a text without letters."""
         out = np.full(len(texts), self.bias, np.float64)
-        for at, part in chunks(texts):
+        for at, part in chunks([distinct_words(t) for t in texts]):
             value, count, starts, owner = _bags(part, letters, self.bits, self.window, lambda b: self.weight[b])
             if len(starts):
-                z = np.add.reduceat(value, starts) / np.maximum(np.add.reduceat(count, starts), 1) + self.bias
+                z = np.add.reduceat(value, starts) / np.maximum(np.add.reduceat(count, starts), FULL) + self.bias
                 best = np.full(len(part), -np.inf)
                 np.maximum.at(best, owner, z)
                 some = best > -np.inf
@@ -48,6 +49,11 @@ class ToxicityModel:
         return out
 
 
+def distinct_words(text: str | None) -> str:
+    """The words of a text in the order in which they first occur: a word said often is no more toxic for that."""
+    return " ".join(dict.fromkeys((text or "").lower().split()))
+
+
 def _bags(texts: list[str], letters: np.ndarray, bits: int, window: int, lookup):
     """For each place the sum of lookup(bucket) of its n-grams and their number; where each bag starts, and its text."""
     codes, begins = stream(texts, letters)
@@ -63,20 +69,21 @@ def _bags(texts: list[str], letters: np.ndarray, bits: int, window: int, lookup)
 
 
 def _bag_starts(is_letter: np.ndarray, begins: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bags start a place before the first letter of every ``window``-th word of a text."""
+    """Bags start a place before the first letter of every ``window``-th word of a text; a text's last bag takes the words left over."""
     first = np.flatnonzero(is_letter[1:] & ~is_letter[:-1])
     owner = np.searchsorted(begins, first, side="right") - 1
     number = np.arange(len(first)) - np.searchsorted(owner, owner, side="left")
-    pick = number % window == 0
+    left = np.searchsorted(owner, owner, side="right") - np.arange(len(first))
+    pick = (number % window == 0) & ((number == 0) | (left >= window))
     return first[pick], owner[pick]
 
 
-def train(texts: list[str], toxic: np.ndarray, bits: int = 20, dim: int = 16, window: int = 16, steps: int = 1600, rate: float = 20.0, batch: int = 24, least: int = 3, seed: int = 7) -> ToxicityModel:
+def train(texts: list[str], toxic: np.ndarray, bits: int = 20, dim: int = 16, window: int = 4, steps: int = 1600, rate: float = 400.0, batch: int = 24, least: int = 3, seed: int = 7) -> ToxicityModel:
     """Fit embeddings and softmax jointly, at least ``steps`` batches and 10 passes. Without both classes the model gives every text 0.
 
     A document's bags are weighted by the softmax of their logits: all alike at first, the most toxic
-    one nearly alone once the model tells them apart. Plain gradient steps let n-grams grow that many
-    texts share; those in fewer than ``least`` different texts keep weight zero.
+    one nearly alone once the model tells them apart. N-grams in fewer than ``least`` different
+    texts keep weight zero, so that no text is learnt by heart.
     """
     toxic = np.asarray(toxic, bool)
     if not len(toxic) or toxic.all() or not toxic.any():
@@ -84,7 +91,7 @@ def train(texts: list[str], toxic: np.ndarray, bits: int = 20, dim: int = 16, wi
     letters = letter_table()
     docs = []  # of each text: buckets, and where its bags start in them
     for t in texts:
-        codes, begins = stream([t], letters)
+        codes, begins = stream([distinct_words(t)], letters)
         is_letter = codes > 0
         starts, _ = _bag_starts(is_letter, begins, window)
         ids, places = [], []
@@ -105,8 +112,8 @@ def train(texts: list[str], toxic: np.ndarray, bits: int = 20, dim: int = 16, wi
     docs = [(dense[ids], starts) for ids, starts in docs]
     rng = np.random.default_rng(seed)
     size = len(kept) + 1
-    emb = rng.uniform(-0.05, 0.05, (size, dim)).astype(np.float32)
-    soft = rng.uniform(-0.05, 0.05, (2, dim)).astype(np.float32)
+    emb = rng.uniform(-0.01, 0.01, (size, dim)).astype(np.float32)
+    soft = rng.uniform(-0.5, 0.5, (2, dim)).astype(np.float32)
     bias = np.zeros(2, np.float32)
     emb[-1] = 0
     share = np.where(toxic, 0.5 / toxic.mean(), 0.5 / (~toxic).mean())
@@ -122,21 +129,22 @@ def train(texts: list[str], toxic: np.ndarray, bits: int = 20, dim: int = 16, wi
             starts = np.concatenate([docs[d][1] + b for d, b in zip(who, begin)])
             bags = np.array([len(docs[d][1]) for d in who])
             first = np.cumsum(bags) - bags
-            length = np.maximum(np.diff(np.append(starts, len(ids))), 1)
-            z = np.add.reduceat((emb @ (soft[1] - soft[0]))[ids], starts) / length
+            length = np.diff(np.append(starts, len(ids)))
+            full = np.maximum(length, FULL)
+            z = np.add.reduceat((emb @ (soft[1] - soft[0]))[ids], starts) / full
             weight = np.exp(z - np.repeat(np.maximum.reduceat(z, first), bags))
             weight /= np.repeat(np.add.reduceat(weight, first), bags)
             p = 1 / (1 + np.exp(-(np.add.reduceat(weight * z, first) + bias[1] - bias[0])))
             err = (p - toxic[who]) * share[who] / len(who)
-            pull = np.bincount(ids, weights=np.repeat(np.repeat(err, bags) * weight / length, length), minlength=size)
+            pull = np.bincount(ids, weights=np.repeat(np.repeat(err, bags) * weight / full, length), minlength=size)
             pull[-1] = 0
             hit = np.flatnonzero(pull)
             g = pull[hit].astype(np.float32)
             delta = soft[1] - soft[0]
             d_soft = g @ emb[hit]
             emb[hit] -= (rate * g)[:, None] * delta
-            soft -= np.float32(rate / 100) * np.stack([-d_soft, d_soft])
-            bias -= np.float32(rate / 100) * np.array([-err.sum(), err.sum()], np.float32)
+            soft -= np.float32(0.1) * np.stack([-d_soft, d_soft])
+            bias -= np.float32(0.1) * np.array([-err.sum(), err.sum()], np.float32)
     weight = np.zeros(1 << bits, np.float32)
     weight[kept] = (emb @ (soft[1] - soft[0]))[:-1]
     return ToxicityModel(weight, float(bias[1] - bias[0]), bits, window)
