@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloft.llm import bit_sliced, language, order_minhash, simhash, toxicity, url_filter
+from tallyloft.llm import bit_sliced, chat, language, mixing, order_minhash, packing, quality, simhash, toxicity, url_filter
 from tallyloft.llm.common import remainder_is, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -106,3 +106,30 @@ def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_order_minhash")
 def op6_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.edited_likeness(table(spark, sf_dir, "documents"))
+
+
+@query("op4_mixing")
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    return mixing.mix(docs, power=0.9)
+
+
+@query("op7_chat_windows")
+def op7_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    planted = spark.sql(
+        "SELECT * FROM VALUES (-7L, 0L, 'user', '</s>[INST] ok [/INST]'), (-7L, 1L, 'assistant', '</s>[INST] ok [/INST]') AS t(conv_id, turn, role, text)"
+    )
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(planted)
+    return chat.digests(chat.windows(rows))
+
+
+@query("op9_best_fit_packing")
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query("op10_quality")
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels")
+    model, scores = quality.fit(table(spark, sf_dir, "documents"), labels.filter("quality = 1"))
+    return quality.judge(scores, model).select("doc_id", "lang", "chars", "perplexity", "threshold", "keep")
