@@ -75,8 +75,12 @@ class KneserNey:
     lower: np.ndarray
 
     def dense(self) -> np.ndarray:
-        n = 1 << BITS * (ORDER - 1)
-        out = (np.log(self.weight)[:, None] + np.log(self.lower).reshape(n >> BITS, -1)[np.arange(n) % (n >> BITS)]).astype(np.float32).ravel()
+        lower = np.log(self.lower).astype(np.float32).reshape(1, -1)
+        weight = np.log(self.weight).astype(np.float32).reshape(-1, 1 << BITS * (ORDER - 2), 1)
+        out = np.empty((weight.shape[0], lower.size), np.float32)
+        for first in range(len(out)):  # of each first character, the contexts that begin with it
+            np.add(weight[first], lower.reshape(weight.shape[1], -1), out=out[first].reshape(weight.shape[1], -1))
+        out = out.ravel()
         out[self.seen] = self.logp
         return out
 
@@ -199,7 +203,8 @@ def fit(docs: DataFrame, trusted: DataFrame, quantile: float = 0.999, margin: fl
     """
     ids = trusted.select(F.col("doc_id").alias("trusted_id")).filter("trusted_id IS NOT NULL").distinct()
     match = F.col("doc_id") == F.col("trusted_id")
-    model = train(docs.select("doc_id", "text").filter("text IS NOT NULL").join(ids, match, "left_semi"))
+    # Always a sort-merge join: the ids grow with the corpus, and the cost per document is the same at every size.
+    model = train(docs.select("doc_id", "text").filter("text IS NOT NULL").join(ids.hint("merge"), match, "left_semi"))
     scores = stored(perplexities(docs.select("doc_id", "lang", "text"), model, keep_text=False), "surprise")
     known = scores.filter("chars > 0").join(ids, match, "left_semi").select("lang", "nll", "chars")
     means = known.groupBy("lang").agg(F.sum("nll").alias("nll"), F.sum("chars").alias("chars"), F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()
