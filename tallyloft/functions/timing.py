@@ -41,3 +41,13 @@ def refresh_priority(searches: Column, hits: Column, reliability: Column, state:
     gap = F.greatest(F.lit(0), searches - hits)
     weight = F.when(state == "fresh", 0.0).when(state == "aging", 1.0).when(state == "stale", 3.0).otherwise(6.0)
     return F.round((gap + 1) * F.greatest(F.lit(0.1), reliability) * (1 + weight), 4)
+
+
+def register(spark, name: str = "freshness_state") -> None:
+    """The freshness rule as a SQL function (at, now) of the session, inlined by the optimizer where it is used."""
+    spark.sql(
+        f"""CREATE OR REPLACE TEMPORARY FUNCTION {name}(seen TIMESTAMP, now TIMESTAMP) RETURNS STRING RETURN
+        CASE WHEN seen IS NULL THEN 'expired' WHEN (unix_micros(now) - unix_micros(seen)) <= {TARGET} * 60000000L THEN 'fresh'
+             WHEN (unix_micros(now) - unix_micros(seen)) <= {STALE} * 60000000L THEN 'aging'
+             WHEN (unix_micros(now) - unix_micros(seen)) <= {EXPIRE} * 60000000L THEN 'stale' ELSE 'expired' END"""
+    )

@@ -237,6 +237,12 @@ def seed_sync(spark, sf_dir):
 
 
 # ------------------------------------------------------------------ text
+@query("title_model", """SELECT p_partkey, nullif(concat_ws(' ', split_part(p_name, ' ', 1), nullif(split_part(p_name, ' ', 2), ''), nullif(split_part(p_name, ' ', 3), '')), '') AS model FROM part""")
+def title_model(spark, sf_dir):
+    made = F.concat_ws(" ", "p_brand", F.lit("2021"), "p_name", F.lit("diesel automatic"))
+    return table(spark, sf_dir, "part").select("p_partkey", text.model_from_title(made, F.col("p_brand")).alias("model"))
+
+
 @query("condition_of", """SELECT doc_id, CASE WHEN regexp_matches(lower(text), '\\b(demo|demonstrator|test drive car)\\b') THEN 'demo' WHEN regexp_matches(lower(text), '\\b(used|pre-owned|preowned|certified)\\b') THEN 'used' ELSE 'unknown' END AS condition FROM documents""")
 def condition_of(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.condition_of(F.col("text")).alias("condition"))
@@ -256,6 +262,8 @@ def money_text(spark, sf_dir):
 @query("freshness_function", f"""WITH {LATEST} SELECT freshness, count(*) AS n FROM (SELECT CASE WHEN observed_at >= (SELECT max(ts) FROM events) - INTERVAL 6 HOUR THEN 'fresh' WHEN observed_at >= (SELECT max(ts) FROM events) - INTERVAL 24 HOUR THEN 'aging' WHEN observed_at >= (SELECT max(ts) FROM events) - INTERVAL 168 HOUR THEN 'stale' ELSE 'expired' END AS freshness FROM latest) GROUP BY 1""")
 def freshness_function(spark, sf_dir) -> DataFrame:
     """The freshness rule as a function of the session, used from SQL."""
+    timing.register(spark)
     last = latest(observations(spark, sf_dir), ["listing_id"], "observed_at", "observation_id")
-    now = F.lit(table(spark, sf_dir, "events").agg(F.max("ts")).first()[0])
-    return last.groupBy(timing.freshness(F.col("observed_at"), now).alias("freshness")).agg(F.count("*").alias("n"))
+    now = table(spark, sf_dir, "events").agg(F.max("ts")).first()[0]
+    state = F.call_function("freshness_state", F.col("observed_at").cast("timestamp"), F.lit(now).cast("timestamp"))
+    return last.groupBy(state.alias("freshness")).agg(F.count("*").alias("n"))

@@ -278,3 +278,22 @@ def test_listings_by_the_first_extractor_that_finds_any(spark):
     assert (got[2]["method"], got[2]["price"], got[2]["year"], got[2]["km"]) == ("visible", 2150000.0, 2021, 30000)
     assert (got[3]["method"], got[3]["sold"]) == ("embedded", True)
     assert {r["page_id"]: r["state"] for r in extract.gate(extract.listings(df)).collect()} == {1: "parsed", 2: "failed", 3: "failed"}
+
+
+@pytest.mark.parametrize("title,brand,model", [("2022 Hyundai Creta SX(O) diesel", "Hyundai", "Creta"), ("Tata Nexon EV Max used", "Tata", "Nexon"), ("Honda City 35,000 km", "Honda", "City"), ("BMW 2020", "BMW", None), (None, "BMW", None)])
+def test_model_from_title(spark, title, brand, model):
+    assert value(spark, text.model_from_title(F.col("x"), F.lit(brand)), given=title) == model
+
+
+def test_brands_months_families_and_slugs(spark):
+    get = lambda c, given: value(spark, c, given=given)
+    names = {"merc": "Mercedes-Benz", "mercedes benz": "Mercedes-Benz", "ds": "DS"}
+    assert [get(text.brand_of(F.col("x"), names), t) for t in ("Mercedes-Benz C", "the kids", "a DS 7", None)] == ["Mercedes-Benz", None, "DS", None]
+    assert [get(text.labelled_month(F.col("x"), "mfg"), t) for t in ("Mfg: March 2021", "mfg 2020 Sept", "mfg - 2019", "reg 2019")] == ["2021-03", "2020-09", "2019", None]
+    assert get(text.model_family(F.lit("BMW"), F.col("x")), "320d M Sport") == "3 Series" and get(text.model_family(F.lit("Mercedes-Benz"), F.col("x")), "e220") == "E-Class" and get(text.model_family(F.lit("BMW"), F.col("x")), "X5") == "X5"
+    assert get(text.slug(F.col("x")), " Citroën & Co. ") == "citroen-and-co"
+
+
+def test_urls_join_and_state(spark):
+    assert value(spark, text.condition_of(F.col("x")), given="Demo car, used") == "demo" and value(spark, text.sold(F.col("x"))) is False
+    assert value(spark, text.has_personal_data(F.col("x")), given="call +91 98765 43210") is True
