@@ -11,6 +11,10 @@ Skew: equal fingerprints are one row before the join. A cell of more than ``cell
 is dealt into tiles, and pairs of tiles are walked in separate tasks. Inside a task, subtries whose
 fingerprints are already known to be one class are not compared again, and a task returns a
 spanning forest, never all pairs. Classes come from star contraction over stored tables.
+
+Word edits move a fingerprint of long shingles by more bits than any trie can allow. ``near_copies``
+therefore joins several fingerprints of single words, which edits hardly move, and keeps a link only if a
+512-bit SimHash of different five-word shingles puts the pair's similarity at 0.8 or more.
 """
 
 from __future__ import annotations
@@ -26,20 +30,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloft.llm.common import discard, stored
+from tallyloft.llm.common import discard, mix64, stored
 
 SEED = 42
 PIECE = 200_000  # shingles hashed at a time
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
-    """The 64-bit SimHash of a whole text; zero if it has no word.
+def hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of all shingles of a whole text, repeats included; of all words as one, if they are fewer.
 
     On UTF-8 bytes, lower() changes A-Z only and split() cuts at space and 09 to 0D only.
     """
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
@@ -47,14 +51,21 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
         starts, ends = starts[: len(words) - shingle + 1], ends[shingle - 1 :]
     else:
         starts, ends = starts[:1], ends[-1:]
-    n = len(starts)
-    ones = np.zeros(64, np.int64)
     digest = xxhash.xxh64_intdigest
-    for at in range(0, n, PIECE):
-        spans = zip(starts[at : at + PIECE].tolist(), ends[at : at + PIECE].tolist())
-        hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in spans), np.uint64)
-        ones += np.unpackbits(hashes.view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
-    return int(sum(1 << b for b in np.flatnonzero(ones * 2 > n).tolist()))
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist())), np.uint64, len(starts))
+
+
+def majority(h: np.ndarray) -> int:
+    """The integer of the bits that are set in over half of the hashes; zero for none."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(h), PIECE):
+        ones += np.unpackbits(h[at : at + PIECE].view(np.uint8), bitorder="little").reshape(-1, 64).sum(axis=0, dtype=np.int64)
+    return int(sum(1 << b for b in np.flatnonzero(ones * 2 > len(h)).tolist()))
+
+
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    """The 64-bit SimHash of a whole text; zero if it has no word."""
+    return majority(hashes(text, shingle))
 
 
 def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3) -> DataFrame:
@@ -91,12 +102,13 @@ def _labels(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray) -> np.ndarr
     return label
 
 
-def trie_links(keys: np.ndarray, cells: list[tuple[int, int, int, int]], first_bit: int, budget: int, most: int = 1 << 20) -> np.ndarray:
+def trie_links(keys: np.ndarray, cells: list[tuple[int, int, int, int]], first_bit: int, budget: int, most: int = 1 << 20, sketch: np.ndarray | None = None, far: int = 0) -> np.ndarray:
     """Class labels (smallest row) of the rows of ``keys`` after walking the cells.
 
     ``keys``: 64-bit trie paths, ascending inside each side of a cell. A cell (a0, a1, b0, b1) pairs
     rows a0..a1 with b0..b1; equal sides mean a cell with itself. All keys of a cell share the bits
-    above ``first_bit``. ``most``: pairs of nodes held at a time.
+    above ``first_bit``. ``most``: pairs of nodes held at a time. With ``sketch`` (rows x words), a link
+    also needs the sketches to differ in at most ``far`` bits.
     """
     n = len(keys)
     label = np.arange(n)
@@ -130,17 +142,25 @@ def trie_links(keys: np.ndarray, cells: list[tuple[int, int, int, int]], first_b
         a0, a1, b0, b1 = pair.T
         small = ((a1 - a0) * (b1 - b0) <= 16) | (bit < 0)
         if small.any():
-            p, m = pair[small], (pair[small, 3] - pair[small, 2])
-            for lo in range(0, len(p), max(1, most // 16)):
-                q = p[lo : lo + max(1, most // 16)]
+            p = pair[small]
+            upto = np.cumsum((p[:, 1] - p[:, 0]) * (p[:, 3] - p[:, 2]))
+            cuts = np.unique(np.searchsorted(upto, np.arange(0, upto[-1] + most, most), side="left"))
+            for lo, hi in zip(np.append(0, cuts + 1), np.append(cuts + 1, len(p))):
+                q = p[lo:hi]
+                if not len(q):
+                    continue
                 na, nb = q[:, 1] - q[:, 0], q[:, 3] - q[:, 2]
                 size = na * nb
                 which = np.repeat(np.arange(len(q)), size)
                 at = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
                 i, j = q[which, 0] + at // nb[which], q[which, 2] + at % nb[which]
                 near = (np.bitwise_count(keys[i] ^ keys[j]) <= budget) & (i != j)
-                if near.any():
-                    label = _labels(n, i[near], j[near], label)
+                i, j = i[near], j[near]
+                if sketch is not None and len(i):
+                    close = np.bitwise_count(sketch[i] ^ sketch[j]).sum(axis=1) <= far
+                    i, j = i[close], j[close]
+                if len(i):
+                    label = _labels(n, i, j, label)
             refresh()
             pair, err, same = pair[~small], err[~small], same[~small]
         if not len(pair):
@@ -182,36 +202,38 @@ def _path(fp: F.Column, order: list[tuple[int, int]]):
     return out
 
 
-def near_links(reps: DataFrame, budget: int = 3, cell_rows: int = 4096) -> DataFrame:
-    """Links (``u`` > ``v``) of a spanning forest over the distinct fingerprints ``fp`` with ids ``rep``.
+def near_links(reps: DataFrame, budget: int = 3, cell_rows: int = 4096, columns: tuple[str, ...] = ("fp",), sketch: tuple[str, ...] = (), far: int = 0) -> DataFrame:
+    """Links (``u`` > ``v``) of a spanning forest over rows with ids ``rep`` and one or more fingerprints.
 
-    Fingerprints that some chain of differences of at most ``budget`` bits joins are joined by the links.
+    Rows link if any of the fingerprints in ``columns`` differ in at most ``budget`` bits, and, given
+    ``sketch`` columns, these in at most ``far`` bits together. Rows that a chain of links joins are joined.
     """
     spark = reps.sparkSession
     rows = reps.count()
     layout, fixed = _layout(rows, budget)
     parts = None
-    for number, order in enumerate(layout):
-        one = reps.select(F.lit(number).alias("trie"), _path(F.col("fp"), order).alias("path"), F.col("rep"))
+    tries = [(c, order) for c in columns for order in layout]
+    for number, (c, order) in enumerate(tries):
+        one = reps.select(F.lit(number).alias("trie"), _path(F.col(c), order).alias("path"), F.col("rep"), *sketch)
         parts = one if parts is None else parts.union(one)
-    depth = {i: sum(w for _, w in order[:fixed]) for i, order in enumerate(layout)}
+    depth = {i: sum(w for _, w in order[:fixed]) for i, (_, order) in enumerate(tries)}
     # Tries may differ by some bits in depth, so the shift depends on the trie.
     shift = " ".join(f"WHEN {i} THEN {64 - d}" for i, d in depth.items())
     parts = parts.withColumn("cell", F.expr(f"shiftrightunsigned(path, CASE trie {shift} END)"))
     big = parts.groupBy("trie", "cell").agg(F.count("*").alias("n")).filter(F.col("n") > cell_rows)
     big = stored(big.select("trie", "cell", F.ceil(F.col("n") / cell_rows).cast("int").alias("tiles")), "cells")
     if big.isEmpty():
-        dealt = parts.select("trie", "cell", F.lit(0).alias("t1"), F.lit(0).alias("t2"), F.lit(0).alias("side"), "path", "rep")
+        dealt = parts.select("trie", "cell", F.lit(0).alias("t1"), F.lit(0).alias("t2"), F.lit(0).alias("side"), "path", "rep", *sketch)
     else:
         # Cells of over cell_rows rows number at most rows * tries / cell_rows.
         tiled = parts.join(big, ["trie", "cell"], "left").withColumn("tiles", F.coalesce("tiles", F.lit(1)))
         tiled = tiled.withColumn("tile", F.pmod(F.xxhash64("rep"), F.col("tiles")).cast("int"))
         other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
         dealt = tiled.withColumn("other", other).select(
-            "trie", "cell", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), (F.col("tile") > F.col("other")).cast("int").alias("side"), "path", "rep"
+            "trie", "cell", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), (F.col("tile") > F.col("other")).cast("int").alias("side"), "path", "rep", *sketch
         )
     key = ["trie", "cell", "t1", "t2"]
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows * len(layout) / 2_000_000))
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows * len(tries) / 2_000_000))
     dealt = dealt.repartition(n, *key).sortWithinPartitions(*key, "side", F.expr("path ^ (-9223372036854775807L - 1L)"))
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -227,12 +249,13 @@ def near_links(reps: DataFrame, budget: int = 3, cell_rows: int = 4096) -> DataF
             ends = np.append(starts[1:], len(frame))
             split = starts + np.add.reduceat((side == 0).astype(np.int64), starts)
             whole = ids[2][starts] == ids[3][starts]
+            marks = np.stack([frame[c].to_numpy().astype(np.int64).view(np.uint64) for c in sketch], axis=1) if sketch else None
             us, vs = [], []
             for trie, d in depth.items():
                 mine = ids[0][starts] == trie
                 sides = [np.where(whole, a, b) for a, b in ((starts, starts), (ends, split), (starts, split), (ends, ends))]
                 cells = [tuple(c) for c in np.stack(sides, axis=1)[mine].tolist() if c[1] > c[0] and c[3] > c[2]]
-                label = trie_links(paths, cells, 63 - d, budget)
+                label = trie_links(paths, cells, 63 - d, budget, sketch=marks, far=far)
                 linked = np.flatnonzero(label != np.arange(len(label)))
                 us.append(rep[linked])
                 vs.append(rep[label[linked]])
@@ -296,3 +319,45 @@ def near_duplicates(docs: DataFrame, text: str = "text", shingle: int = 3, budge
     roots = components(links)
     classes = stored(reps.join(roots, reps["rep"] == roots["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id")), "classes")
     return fps.join(classes, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+# At a similarity of 0.8 some 78 of the 512 sketch bits differ, 8 more or less; FAR takes one and a half such
+# deviations more, so that few pairs of 0.8 are missed; it takes some pairs down to about 0.75 with them.
+WORD_PRINTS, SKETCH_WORDS, FAR = 4, 8, 90
+
+
+def signatures(docs: DataFrame, text: str = "text", shingle: int = 5) -> DataFrame:
+    """doc_id, WORD_PRINTS fingerprints (w0, ...) of single words, SKETCH_WORDS words (s0, ...) of a SimHash of its different shingles.
+
+    Beyond the first, the hash functions are mixes of XXH64. A text without words has zeros.
+    """
+
+    def prints(h: np.ndarray, many: int) -> list[int]:
+        return [majority(h if i == 0 else mix64(h ^ np.uint64(i * 0x9E3779B97F4A7C15 % (1 << 64)))) for i in range(many)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [prints(hashes(t, 1), WORD_PRINTS) + prints(np.unique(hashes(t, shingle)), SKETCH_WORDS) for t in batch.column(1).to_pylist()]
+            table = np.array(rows, np.uint64).reshape(len(rows), -1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(table[:, i]) for i in range(table.shape[1]))], names)
+
+    names = ["doc_id", *(f"w{i}" for i in range(WORD_PRINTS)), *(f"s{i}" for i in range(SKETCH_WORDS))]
+    schema = ", ".join(f"{n} long" for n in names)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("__text")).mapInArrow(run, schema)
+
+
+def near_copies(docs: DataFrame, text: str = "text", shingle: int = 5, budget: int = 3, far: int = FAR, cell_rows: int = 1024) -> DataFrame:
+    """``doc_id`` and ``component_id`` (smallest doc_id of its class) of documents that are near copies of each other.
+
+    Near copies: five-word shingles of a similarity of 0.8 or more, as the 512 bits of a SimHash tell it, found
+    where one of the word fingerprints differs in at most ``budget`` bits. Rows
+    with a null doc_id take no part; nulls and empty texts are one class; rows that repeat a doc_id are one document.
+    """
+    sigs = stored(signatures(docs, text, shingle).filter("doc_id IS NOT NULL"), "signatures")
+    prints, sketch = tuple(c for c in sigs.columns if c[0] == "w"), tuple(c for c in sigs.columns if c[0] == "s")
+    reps = stored(sigs.groupBy(*prints, *sketch).agg(F.min("doc_id").alias("rep")), "representatives")
+    same = [sigs[c] == reps[c] for c in (*prints, *sketch)]
+    own = stored(sigs.join(reps, same).select(sigs["doc_id"], reps["rep"]), "copies")
+    links = near_links(reps, budget, cell_rows, prints, sketch, far).union(own.filter("doc_id <> rep"))
+    roots = stored(components(links), "roots")
+    return own.select("doc_id").distinct().join(roots, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("component_id"))

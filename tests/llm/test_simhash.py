@@ -109,3 +109,37 @@ def test_layout_covers_every_pair():
         for _ in range(200):
             bits = set(rng.integers(0, 64, 3).tolist())
             assert any(all(not (s <= b < s + w) for s, w in order[:fixed] for b in bits) for order in layout)
+
+
+def test_near_copies_are_those_of_eight_tenths(spark):
+    rng = random.Random(7)
+    words = ["".join(rng.choice("abcdefghijk") for _ in range(5)) for _ in range(800)]
+    texts, edited = {}, {}
+    for g in range(30):
+        base = [rng.choice(words) for _ in range(300)]
+        texts[10 * g] = " ".join(base)
+        for k, edits in enumerate((0, 2, 4, 40), 1):
+            copy = list(base)
+            for at in rng.sample(range(300), edits):
+                copy[at] = rng.choice(words)
+            texts[10 * g + k] = " ".join(copy).upper() if k == 1 else " ".join(copy)
+            edited[10 * g + k] = edits
+    rows = [(i, t) for i, t in texts.items()] + [(900, None), (901, " "), (902, "one two"), (903, "One  two"), (902, "one two"), (None, texts[0])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS rep", "2 AS w0")
+    got = {r["doc_id"]: r["component_id"] for r in S.near_copies(df, cell_rows=8).collect()}
+    assert len(got) == len(texts) + 4
+    for i in texts:
+        assert got[i] == (i - i % 10 if edited.get(i, 0) < 40 else i), i
+    assert (got[900], got[901], got[902], got[903]) == (900, 900, 902, 902)
+    assert S.near_copies(df.limit(0)).count() == 0
+
+
+def test_equal_keys_and_sketches_in_the_walk():
+    rng = np.random.default_rng(0)
+    keys = np.repeat(np.sort(rng.integers(0, 2**63, 6, dtype=np.uint64)), 40)
+    sketch = rng.integers(0, 2**63, (240, 2), dtype=np.uint64)
+    sketch[:80] = sketch[0]
+    label = S.trie_links(keys, [(0, 240, 0, 240)], 63, 3, most=256, sketch=sketch, far=10)
+    want = np.arange(240)
+    want[:40], want[40:80] = 0, 40
+    assert (label == want).all()
