@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloft.functions import text, timing, url
-from tallyloft.operators import folding
+from tallyloft.operators import evidence, folding
 from tallyloft.operators.latest import latest
 from tallyloft.plans.queries import LATEST, OBS, OFF, query
 from tallyloft.sources.tables import observations, offers, table
@@ -267,3 +267,48 @@ def freshness_function(spark, sf_dir) -> DataFrame:
     now = table(spark, sf_dir, "events").agg(F.max("ts")).first()[0]
     state = F.call_function("freshness_state", F.col("observed_at").cast("timestamp"), F.lit(now).cast("timestamp"))
     return last.groupBy(state.alias("freshness")).agg(F.count("*").alias("n"))
+
+
+# ------------------------------------------------------------------ evidence
+@query("route_resolution", """SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN 'https://s.example/special/' || CAST(s_nationkey AS VARCHAR)
+    WHEN s_suppkey % 5 = 0 THEN NULL ELSE 'https://s.example/' || lower(n_name) || '?c=' || CAST(s_nationkey AS VARCHAR) END AS route FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
+def route_resolution(spark, sf_dir):
+    rows = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    override = F.when(F.col("s_suppkey") % 4 == 0, F.lit("https://s.example/special/{id}"))
+    values = {"city": F.when(F.col("s_suppkey") % 5 != 0, F.lower("n_name")), "id": F.col("s_nationkey").cast("string")}
+    return rows.select("s_suppkey", evidence.route(F.lit("https://s.example/{city}?c={id}"), override, values).alias("route"))
+
+
+@query("ledger_evidence", """SELECT event_id, event_id % 3 <> 0 AND event_type <> 'error' AND event_id % 7 <> 0 AS valid FROM events""")
+def ledger_evidence(spark, sf_dir):
+    seal = F.when(F.col("event_id") % 7 == 0, F.lit("other")).otherwise(F.sha2("props", 256))
+    rows = table(spark, sf_dir, "events").select("event_id", "props", F.when(F.col("event_id") % 3 == 0, 1).otherwise(2).alias("version"), (F.col("event_type") == "error").alias("grants"), seal.alias("fingerprint"))
+    return evidence.ledger_evidence(rows, 2, ("grants",), "props", "fingerprint").select("event_id", "valid")
+
+
+@query("replay_status", """SELECT conv_id, CASE WHEN conv_id % 5 = 0 THEN 'unavailable' WHEN conv_id % 5 = 1 THEN 'drift' ELSE 'matched' END AS status FROM (SELECT DISTINCT conv_id FROM conversations)""")
+def replay_status(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations")
+    now = rows.filter("conv_id % 5 <> 0").withColumn("text", F.when(F.col("conv_id") % 5 == 1, F.concat("text", F.lit("!"))).otherwise(F.col("text")))
+    return evidence.replay(rows, now, "conv_id", ["turn", "role", "text"])
+
+
+@query("sample_problems", """WITH s AS (SELECT page_id, url, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS h, regexp_replace(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '/+$', '') AS p, regexp_extract(url, '^[^?#]*[?]([^#]*)', 1) AS q, lower(split_part(url, '://', 1)) AS sc FROM pages),
+  k AS (SELECT page_id, h, sc || h || CASE WHEN p = '' THEN '/' ELSE p END || '?' || array_to_string(list_sort(list_filter(string_split(q, '&'), lambda x: x <> '' AND NOT starts_with(lower(split_part(x, '=', 1)), 'utm_') AND NOT lower(split_part(x, '=', 1)) IN ('gclid', 'fbclid'))), '&') AS key FROM s)
+  SELECT page_id AS id, concat_ws('|', CASE WHEN page_id % 9 = 0 THEN 'labels' END, CASE WHEN page_id % 4 = 3 THEN 'condition' END, CASE WHEN page_id % 6 = 0 THEN 'collected' END, CASE WHEN row_number() OVER (PARTITION BY h, key ORDER BY page_id) > 1 THEN 'duplicate' END) AS problems FROM k""")
+def sample_problems(spark, sf_dir):
+    now = F.lit("2026-01-02 00:00:00").cast("timestamp_ntz")
+    pages = table(spark, sf_dir, "pages").select(
+        F.col("page_id").alias("id"), "url", url.host(F.col("url")).alias("source"), F.when(F.col("page_id") % 9 != 0, "b").alias("brand"), F.lit("m").alias("model"),
+        F.get(F.array(F.lit("used"), F.lit("demo"), F.lit("used"), F.lit("new")), (F.col("page_id") % 4).cast("int")).alias("condition"), F.lit(True).alias("eligible"),
+    )
+    collected = now - F.make_dt_interval(hours=F.when(F.col("id") % 6 == 0, 30).otherwise(3))
+    return evidence.sample_problems(pages, collected, now).select("id", F.array_join("problems", "|").alias("problems"))
+
+
+@query("group_survivors", """SELECT p_partkey AS id, row_number() OVER (PARTITION BY p_brand, p_type ORDER BY p_size, p_partkey) = 1 AS kept FROM part""")
+def group_survivors(spark, sf_dir):
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_brand", "p_type", "p_size")
+    first = rows.groupBy("p_brand", "p_type").agg(F.min("id").alias("group_id"))
+    pairs = rows.join(first, ["p_brand", "p_type"]).select("id", "group_id")
+    return evidence.survivors(rows, pairs, [F.col("p_size"), F.col("id")]).select("id", "kept")
