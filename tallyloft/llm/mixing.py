@@ -24,7 +24,7 @@ from tallyloft.llm.common import stored
 
 SLOTS = 1000
 MOST_SOURCES = 1000
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 1024
 
 
 def shares(weights: dict[str | None, float], slots: int = SLOTS) -> dict[str | None, int]:
@@ -79,14 +79,15 @@ def schedule(spark, part: dict[str | None, int]) -> DataFrame:
     return listed.withColumn("turn", turn).select(source.alias("source"), "turn", "slot")
 
 
-def placed(df: DataFrame, group: str, size: Column, order: tuple[Column, ...], rows: int) -> DataFrame:
+def placed(df: DataFrame, group: str, size: Column, order: tuple[Column, ...], rows: DataFrame) -> DataFrame:
     """``df`` with ``__start``: the sizes of the rows of its group before it, in hash order; no task holds a group.
 
-    ``order`` breaks ties of the hash and feeds it.
+    ``rows``: how many rows (``__rows``) each group (``__g``) has; the caller vouches for a bound on the
+    number of groups. A group is cut into buckets of about BUCKET_ROWS rows. ``order`` feeds the hash and breaks its ties.
     """
-    buckets = max(1, math.ceil(rows / BUCKET_ROWS))
     h = F.xxhash64(*order, F.lit(11))
-    cut = df.withColumns({"__h": h, "__size": size.cast("long")}).withColumn("__bucket", F.pmod("__h", F.lit(buckets)).cast("int"))
+    many = F.ceil(F.col("__rows") / BUCKET_ROWS)
+    cut = df.join(F.broadcast(rows), df[group].eqNullSafe(F.col("__g"))).select(*df.columns, h.alias("__h"), size.cast("long").alias("__size"), F.pmod(h, many).cast("int").alias("__bucket"))
     sums = cut.groupBy(group, "__bucket").agg(F.sum("__size").alias("__sum"))
     before = F.sum("__sum").over(Window.partitionBy(group).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1))
     sums = stored(sums.select(F.col(group).alias("__g"), F.col("__bucket").alias("__b"), F.coalesce(before, F.lit(0)).alias("__before")), "bucket-sums")
@@ -138,7 +139,9 @@ def mix(
     sizes = spark.range(1, numPartitions=1).select(F.inline(F.array(*one)))
     plan = schedule(spark, part).groupBy("source").agg(F.array_sort(F.collect_list(F.struct("turn", "slot"))).alias("turns"))
     plan = plan.join(sizes, plan["source"].eqNullSafe(sizes["__s"])).select("__s", "__part", "__blocks", F.col("turns.slot").alias("__slots"))
-    rows = placed(df, source, weight, tuple(F.col(t) for t in ties), sum(r["rows"] for r in stats))
+    each = [F.struct(F.lit(r["s"]).cast("string").alias("__g"), F.lit(r["rows"]).cast("long").alias("__rows")) for r in stats]
+    counted = spark.range(1, numPartitions=1).select(F.inline(F.array(*each)))
+    rows = placed(df, source, weight, tuple(F.col(t) for t in ties), counted)
     # At most MOST_SOURCES rows, with SLOTS numbers in all.
     rows = rows.join(F.broadcast(plan), F.col(source).cast("string").eqNullSafe(F.col("__s")))
     epoch = F.lit(0).cast("long")

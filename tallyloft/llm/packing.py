@@ -15,7 +15,6 @@ bucket plus the sizes of the buckets before: no task holds all pieces of a lengt
 from __future__ import annotations
 
 import bisect
-import math
 from collections.abc import Callable
 
 import pandas as pd
@@ -119,7 +118,8 @@ def pack(docs: DataFrame, size: Column | None = None, lengths: tuple[int, ...] =
     table = spark.createDataFrame(pd.DataFrame(entries, columns=["length", "first", "end", "bin0", "each", "offset0"]), kind) if entries else spark.createDataFrame([], kind)
     kind = "bin1 long, end1 long, used long, capacity long"
     groups = spark.createDataFrame(pd.DataFrame(bins, columns=["bin1", "end1", "used", "capacity"]), kind) if bins else spark.createDataFrame([], kind)
-    ranked = placed(cut, "length", F.lit(1), (F.col("doc_id"), F.col("start")), sum(histogram.values()))
+    counted = spark.createDataFrame(list(histogram.items()), "__g long, __rows long")
+    ranked = placed(cut, "length", F.lit(1), (F.col("doc_id"), F.col("start")), counted)
     # A few entries for each length, as the plan's docstring says.
     hit = ranked.join(F.broadcast(table.withColumnRenamed("length", "l")), (F.col("length") == F.col("l")) & (F.col("__start") >= F.col("first")) & (F.col("__start") < F.col("end")))
     nth = F.col("__start") - F.col("first")
