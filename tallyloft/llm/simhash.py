@@ -13,8 +13,10 @@ fingerprints are already known to be one class are not compared again, and a tas
 spanning forest, never all pairs. Classes come from star contraction over stored tables.
 
 Word edits move a fingerprint of long shingles by more bits than any trie can allow. ``near_copies``
-therefore joins several fingerprints of single words, which edits hardly move, and keeps a link only if a
-512-bit SimHash of different five-word shingles puts the pair's similarity at 0.8 or more.
+therefore takes as candidates the texts that share one of BANDS keys, each made of BAND_ROWS minima of hashes
+of the different five-word shingles: how often a pair is reached depends on its similarity alone, not on its
+length or on what was edited. A link counts only if a 512-bit SimHash of the same shingles puts the pair's
+similarity at 0.8 or more.
 """
 
 from __future__ import annotations
@@ -195,6 +197,8 @@ def _layout(rows: int, budget: int) -> tuple[list[list[tuple[int, int]]], int]:
 def _path(fp: F.Column, order: list[tuple[int, int]]):
     """The fingerprint with its blocks put in ``order``, the first one highest."""
     out, left = None, 64
+    if len(order) == 1:
+        return fp
     for shift, width in order:
         left -= width
         part = F.shiftleft(F.shiftrightunsigned(fp, shift).bitwiseAND(F.lit((1 << width) - 1)), left)
@@ -323,11 +327,30 @@ def near_duplicates(docs: DataFrame, text: str = "text", shingle: int = 3, budge
 
 # At a similarity of 0.8 some 78 of the 512 sketch bits differ, 8 more or less; FAR takes one and a half such
 # deviations more, so that few pairs of 0.8 are missed; it takes some pairs down to about 0.75 with them.
-WORD_PRINTS, SKETCH_WORDS, FAR = 4, 8, 90
+SKETCH_WORDS, FAR = 8, 90
+# Texts of similarity J share a key with probability 1 - (1 - J ** BAND_ROWS) ** BANDS: 0.9998 at 0.8.
+BANDS, BAND_ROWS = 16, 4
+_SEEDS = mix64(np.arange(1, 2 * BANDS * BAND_ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(2, -1, 1)
+
+
+def bands(h: np.ndarray) -> list[int]:
+    """BANDS keys of a set of hashes; zeros for none."""
+    if not len(h):
+        return [0] * BANDS
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max)
+    for at in range(0, len(h), PIECE // 50):
+        x = (h[at : at + PIECE // 50] ^ _SEEDS[0]) * (_SEEDS[1] | np.uint64(1))
+        x ^= x >> np.uint64(32)
+        x *= np.uint64(0xD6E8FEB86659FD93)
+        np.minimum(least, x.min(axis=1), out=least)
+    keys = np.zeros(BANDS, np.uint64)
+    for row in least.reshape(BANDS, BAND_ROWS).T:
+        keys = mix64(keys * np.uint64(31) + row)
+    return keys.tolist()
 
 
 def signatures(docs: DataFrame, text: str = "text", shingle: int = 5) -> DataFrame:
-    """doc_id, WORD_PRINTS fingerprints (w0, ...) of single words, SKETCH_WORDS words (s0, ...) of a SimHash of its different shingles.
+    """doc_id, BANDS keys (b0, ...) and SKETCH_WORDS words (s0, ...) of a SimHash, both of its different shingles.
 
     Beyond the first, the hash functions are mixes of XXH64. A text without words has zeros.
     """
@@ -337,27 +360,27 @@ def signatures(docs: DataFrame, text: str = "text", shingle: int = 5) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [prints(hashes(t, 1), WORD_PRINTS) + prints(np.unique(hashes(t, shingle)), SKETCH_WORDS) for t in batch.column(1).to_pylist()]
+            sets = (np.unique(hashes(t, shingle)) for t in batch.column(1).to_pylist())
+            rows = [bands(h) + prints(h, SKETCH_WORDS) for h in sets]
             table = np.array(rows, np.uint64).reshape(len(rows), -1).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(table[:, i]) for i in range(table.shape[1]))], names)
 
-    names = ["doc_id", *(f"w{i}" for i in range(WORD_PRINTS)), *(f"s{i}" for i in range(SKETCH_WORDS))]
+    names = ["doc_id", *(f"b{i}" for i in range(BANDS)), *(f"s{i}" for i in range(SKETCH_WORDS))]
     schema = ", ".join(f"{n} long" for n in names)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("__text")).mapInArrow(run, schema)
 
 
-def near_copies(docs: DataFrame, text: str = "text", shingle: int = 5, budget: int = 3, far: int = FAR, cell_rows: int = 1024) -> DataFrame:
+def near_copies(docs: DataFrame, text: str = "text", shingle: int = 5, far: int = FAR, cell_rows: int = 1024) -> DataFrame:
     """``doc_id`` and ``component_id`` (smallest doc_id of its class) of documents that are near copies of each other.
 
     Near copies: five-word shingles of a similarity of 0.8 or more, as the 512 bits of a SimHash tell it, found
-    where one of the word fingerprints differs in at most ``budget`` bits. Rows
-    with a null doc_id take no part; nulls and empty texts are one class; rows that repeat a doc_id are one document.
+    where one of the band keys is the same. Rows with a null doc_id take no part; nulls and empty texts are one class; rows that repeat a doc_id are one document.
     """
     sigs = stored(signatures(docs, text, shingle).filter("doc_id IS NOT NULL"), "signatures")
-    prints, sketch = tuple(c for c in sigs.columns if c[0] == "w"), tuple(c for c in sigs.columns if c[0] == "s")
+    prints, sketch = tuple(c for c in sigs.columns if c[0] == "b"), tuple(c for c in sigs.columns if c[0] == "s")
     reps = stored(sigs.groupBy(*prints, *sketch).agg(F.min("doc_id").alias("rep")), "representatives")
     same = [sigs[c] == reps[c] for c in (*prints, *sketch)]
     own = stored(sigs.join(reps, same).select(sigs["doc_id"], reps["rep"]), "copies")
-    links = near_links(reps, budget, cell_rows, prints, sketch, far).union(own.filter("doc_id <> rep"))
+    links = near_links(reps, 0, cell_rows, prints, sketch, far).union(own.filter("doc_id <> rep"))
     roots = stored(components(links), "roots")
     return own.select("doc_id").distinct().join(roots, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("component_id"))

@@ -143,3 +143,38 @@ def test_equal_keys_and_sketches_in_the_walk():
     want = np.arange(240)
     want[:40], want[40:80] = 0, 40
     assert (label == want).all()
+
+
+def edits_of(rng, words, kind):
+    """A copy of ``words`` of similarity 0.8 or a little more."""
+    n, fresh = len(words), lambda k: [f"n{rng.randrange(10**6)}" for _ in range(k)]
+    if kind == "truncated":
+        return words[: n - int(0.15 * n)]
+    if kind == "appended":
+        return words + fresh(int(0.18 * n))
+    k = int(0.09 * n)
+    return words[: n - k] + fresh(k)
+
+
+def test_truncated_appended_and_short_copies_are_found(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefghijk") for _ in range(rng.randint(1, 8))) for _ in range(300)]
+    texts, partner = {}, {}
+    for low, high in ((25, 60), (60, 150), (150, 600)):
+        for kind in ("truncated", "appended", "replaced"):
+            for _ in range(40):
+                base = [rng.choice(words) for _ in range(rng.randint(low, high))]
+                copy = edits_of(rng, base, kind)
+                a, b = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (base, copy))
+                if len(a & b) < 0.8 * len(a | b):
+                    continue
+                i = len(texts)
+                texts[i], texts[i + 1] = " ".join(base), " ".join(copy)
+                partner[i + 1] = (i, low, kind)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in S.near_copies(df).collect()}
+    for band in {p[1:] for p in partner.values()}:
+        pairs = [(j, p[0]) for j, p in partner.items() if p[1:] == band]
+        found = sum(got[j] == i for j, i in pairs) / len(pairs)
+        print(band, len(pairs), found)
+        assert found >= 0.9, band
