@@ -1,10 +1,11 @@
-"""Mixing sources to target weights by Pfair scheduling, in DataFrame operations only.
+"""Mixing sources to target weights by Pfair scheduling; rows are handled in DataFrame operations only.
 
 Each source's rows are shuffled by a hash and cut into blocks of equal size. Block j (from 1) of a source
 of weight w may run from slot floor((j - 1) / w) and must have run before slot ceil(j / w). Slots are
 given to the released block with the earliest deadline, so that after any number of slots a source has
-had within one block of its share. Weights are parts of ``SLOTS``; the schedule then repeats every
-``SLOTS`` slots, so it is worked out once, for that many slots, and rows find their slots by arithmetic.
+had within one block of its share. Weights are exact ratios, never rounded, and the schedule covers the whole
+horizon. It is a fold whose state is one number a source, a step for each block, done on the driver and
+written to the shared folder as it goes; rows are joined with it by source and block.
 
 Nothing is dropped. A source with too few blocks starts over ("epoch"), until every source has been used
 up at least once; or, without repeats, its slots stay empty once it is used up.
@@ -15,20 +16,26 @@ that no task holds a whole source.
 
 from __future__ import annotations
 
+import heapq
 import math
+import uuid
+from collections.abc import Iterator
+from fractions import Fraction
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloft.llm.common import stored
+from tallyloft.llm.common import scratch_dir, stored
 
 SLOTS = 1000
 MOST_SOURCES = 1000
 BUCKET_ROWS = 1024
+CHUNK = 1 << 20  # slots written at a time
 
 
 def shares(weights: dict[str | None, float], slots: int = SLOTS) -> dict[str | None, int]:
-    """Weights as whole parts of ``slots`` (largest remainder), one part at least for each positive weight."""
+    """Weights as whole parts of ``slots`` (largest remainder), one part at least for each positive weight; ``mix`` keeps weights exact instead."""
     weights = {s: w for s, w in weights.items() if w > 0}
     if len(weights) > min(slots, MOST_SOURCES):
         raise ValueError("more sources than slots")
@@ -50,33 +57,76 @@ def tempered(counts: dict[str | None, int], power: float) -> dict[str | None, fl
     return {s: n**power for s, n in counts.items() if n}
 
 
-def schedule(spark, part: dict[str | None, int]) -> DataFrame:
-    """``source``, ``turn`` (from 0) and ``slot`` of one period: earliest deadline first, at most ``SLOTS`` rows.
+def whole(weights: dict[str | None, float]) -> dict[str | None, int]:
+    """Positive weights as whole numbers in exactly their ratio."""
+    exact = {s: Fraction(w) for s, w in weights.items() if w > 0}
+    if len(exact) > MOST_SOURCES:
+        raise ValueError(f"over {MOST_SOURCES} sources")
+    scale = math.lcm(*(x.denominator for x in exact.values()))
+    parts = {s: int(x * scale) for s, x in exact.items()}
+    common = math.gcd(*parts.values())
+    return {s: n // common for s, n in parts.items()}
+
+
+def names_of(part: dict[str | None, int]) -> list[str | None]:
+    return sorted(part, key=lambda s: (s is None, str(s)))
+
 
-    The state of the fold is the next block of each source: its deadline, how many ran, its release.
+def turns(part: dict[str | None, int], slots: int, blocks: dict[str | None, int] | None = None, repeat: bool = True) -> Iterator[tuple[int, int, int]]:
+    """Number of the source, turn (from 0) and slot of each block that runs: earliest deadline first.
+
+    The first ``blocks`` of each source all run, even if their share of ``slots`` is less: a deadline beyond the
+    end is moved to the end, and what is left then follows at once, fewer blocks than there are sources. Without
+    ``repeat``, no others run.
     """
-    names = sorted(part, key=lambda s: (s is None, str(s)))
-    slots = sum(part.values())
-    sizes = "array(" + ", ".join(str(part[s]) for s in names) + ")"
-    folded = spark.range(1, numPartitions=1).select(
-        F.expr(f"""
-        aggregate(
-          sequence(0, {slots - 1}),
-          named_struct('ran', array_repeat(0, {len(names)}), 'picks', CAST(array() AS ARRAY<INT>)),
-          (state, slot) -> transform(
-            array(array_min(filter(
-              transform(state.ran, (n, i) -> IF(n < {sizes}[i] AND n * {slots} DIV {sizes}[i] <= slot,
-                named_struct('deadline', ((n + 1) * {slots} + {sizes}[i] - 1) DIV {sizes}[i], 'i', i), NULL)),
-              x -> x IS NOT NULL)).i),
-            pick -> named_struct(
-              'ran', transform(state.ran, (n, i) -> IF(i <=> pick, n + 1, n)),
-              'picks', concat(state.picks, array(pick))))[0],
-          state -> state.picks)""").alias("picks")
-    )
-    listed = folded.select(F.posexplode("picks").alias("slot", "i"))
-    turn = F.row_number().over(Window.partitionBy("i").orderBy("slot")) - 1
+    names, total = names_of(part), sum(part.values())
+    size, must = [part[s] for s in names], [(blocks or {}).get(s, 0) for s in names]
+    left = sum(must)
+
+    def block(i: int, j: int) -> tuple[int, int, int, int]:
+        deadline = -(-(j + 1) * total // size[i])
+        return j * total // size[i], min(deadline, slots) if j < must[i] else deadline, i, j
+
+    waiting, ready, slot = [block(i, 0) for i in range(len(names)) if repeat or must[i]], [], 0
+    heapq.heapify(waiting)
+    while left or (repeat and slot < slots):
+        if not ready and waiting[0][0] > slot:
+            slot = waiting[0][0]
+        while waiting and waiting[0][0] <= slot:
+            heapq.heappush(ready, heapq.heappop(waiting)[1:])
+        _, i, j = heapq.heappop(ready)
+        yield i, j, slot
+        left -= j < must[i]
+        if repeat or j + 1 < must[i]:
+            heapq.heappush(waiting, block(i, j + 1))
+        slot += 1
+
+
+def written(spark, runs: Iterator[tuple[int, int, int]], many: int) -> tuple[DataFrame, list[int]]:
+    """``runs`` as a stored table of ``i``, ``turn`` and ``slot``, and how many turns each of ``many`` sources has."""
+    path, ran, held = f"{scratch_dir(spark)}/slots-{uuid.uuid4().hex}", [0] * many, []
+
+    def write() -> None:
+        columns = zip(*held) if held else ([], [], [])
+        table = pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64()))], ["i", "turn", "slot"])
+        spark.createDataFrame(table).write.mode("append").parquet(path)
+        held.clear()
+
+    for run in runs:
+        held.append(run)
+        ran[run[0]] += 1
+        if len(held) == CHUNK:
+            write()
+    write()
+    return spark.read.schema("i int, turn long, slot long").parquet(path), ran
+
+
+def schedule(spark, part: dict[str | None, int]) -> DataFrame:
+    """``source``, ``turn`` (from 0) and ``slot`` of one period of weights that are whole parts of it."""
+    names = names_of(part)
+    runs, _ = written(spark, turns(part, sum(part.values())), len(names))
     source = F.get(F.array(*(F.lit(s).cast("string") for s in names)), F.col("i"))
-    return listed.withColumn("turn", turn).select(source.alias("source"), "turn", "slot")
+    return runs.select(source.alias("source"), "turn", "slot")
 
 
 def placed(df: DataFrame, group: str, size: Column, order: tuple[Column, ...], rows: DataFrame) -> DataFrame:
@@ -130,28 +180,24 @@ def mix(
     target = tempered(totals, power) if weights is None else {s: weights.get(s, 0) for s in totals}
     if not any(w > 0 for w in target.values()):
         return df.drop("__mix_weight").limit(0).select("*", *(F.lit(None).cast("long").alias(c) for c in ("slot", "epoch", "place")))
-    part = shares(target)
-    slots = sum(part.values())
+    part = whole(target)
+    names, total = names_of(part), sum(part.values())
     blocks = {s: -(-totals[s] // block) for s in part}
     # The longest-lasting source runs once; the others go on until the same slot.
-    horizon = max(-(-blocks[s] * slots // part[s]) for s in part) if repeat else 0
-    one = [F.struct(F.lit(s).cast("string").alias("__s"), F.lit(part[s]).cast("long").alias("__part"), F.lit(blocks[s]).cast("long").alias("__blocks")) for s in part]
-    sizes = spark.range(1, numPartitions=1).select(F.inline(F.array(*one)))
-    plan = schedule(spark, part).groupBy("source").agg(F.array_sort(F.collect_list(F.struct("turn", "slot"))).alias("turns"))
-    plan = plan.join(sizes, plan["source"].eqNullSafe(sizes["__s"])).select("__s", "__part", "__blocks", F.col("turns.slot").alias("__slots"))
+    horizon = max(-(-totals[s] * total // (part[s] * block)) for s in part)
+    slots, ran = written(spark, turns(part, horizon, blocks, repeat), len(names))
+    slots = slots.toDF("__j", "__t", "slot")
+    most = [max(0, ran[i] - 1) // blocks[s] for i, s in enumerate(names)]
+    one = [F.struct(F.lit(s).cast("string").alias("__s"), F.lit(i).alias("__i"), F.lit(blocks[s]).cast("long").alias("__blocks"), F.lit(most[i]).cast("long").alias("__most")) for i, s in enumerate(names)]
+    plan = spark.range(1, numPartitions=1).select(F.inline(F.array(*one)))
     each = [F.struct(F.lit(r["s"]).cast("string").alias("__g"), F.lit(r["rows"]).cast("long").alias("__rows")) for r in stats]
     counted = spark.range(1, numPartitions=1).select(F.inline(F.array(*each)))
     rows = placed(df, source, weight, tuple(F.col(t) for t in ties), counted)
-    # At most MOST_SOURCES rows, with SLOTS numbers in all.
+    # At most MOST_SOURCES rows.
     rows = rows.join(F.broadcast(plan), F.col(source).cast("string").eqNullSafe(F.col("__s")))
-    epoch = F.lit(0).cast("long")
-    if repeat:
-        most = F.floor((F.ceil(F.lit(horizon) * F.col("__part") / slots) - 1) / F.col("__blocks")).cast("long")
-        epoch = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(most, F.lit(0).cast("long"))))
-    rows = rows.withColumn("epoch", epoch)
-    rows = rows.withColumn("__turn", F.col("epoch") * F.col("__blocks") + F.least(F.floor(F.col("__start") / block), F.col("__blocks") - 1))
-    slot = F.floor(F.col("__turn") / F.col("__part")) * slots + F.get("__slots", F.pmod("__turn", F.col("__part")).cast("int"))
-    rows = rows.withColumn("slot", slot.cast("long")).withColumn("place", F.col("__start").cast("long"))
-    if repeat:
-        rows = rows.filter((F.col("epoch") == 0) | (F.col("slot") < horizon))
+    rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__most"))))
+    turn = F.col("epoch") * F.col("__blocks") + F.least(F.floor(F.col("__start") / block), F.col("__blocks") - 1)
+    rows = rows.withColumn("__turn", turn).withColumn("place", F.col("__start").cast("long"))
+    # Every turn of the first epoch has a slot; of the last one, those before the end.
+    rows = rows.join(slots, (F.col("__i") == F.col("__j")) & (F.col("__turn") == F.col("__t")))
     return rows.select(*(c for c in df.columns if c != "__mix_weight"), "slot", "epoch", "place")

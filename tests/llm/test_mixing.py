@@ -1,4 +1,6 @@
+import math
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 import pytest
 
@@ -75,3 +77,32 @@ def test_nulls_repeats_clashes_and_empty_tables(spark):
 def test_no_python_in_the_plan(spark):
     plan = M.mix(frame(spark, {"a": 30, "b": 4}))._jdf.queryExecution().toString()
     assert not any(w in plan for w in ("Python", "Pandas", "Arrow"))
+
+
+@pytest.mark.parametrize(
+    "sizes, power",
+    [({"hot": 670_000, **{f"s{i:02}": 70_000 for i in range(19)}}, 0.9), ({"a": 1, "b": 1, "c": 1}, 1.0), ({"big": 1_700_000, "small": 10}, 0.9), ({"x": 900_000, "y": 900_000, "one": 1}, 1.0)],
+)
+def test_shares_are_within_a_block_of_the_unrounded_targets(sizes, power):
+    target = M.tempered(sizes, power)
+    part, total = M.whole(target), sum(Fraction(w) for w in target.values())
+    share = {s: Fraction(w) / total for s, w in target.items()}
+    assert {s: Fraction(n, sum(part.values())) for s, n in part.items()} == share
+    blocks = {s: -(-n // 16) for s, n in sizes.items()}
+    horizon = max(math.ceil(Fraction(n, 16) / share[s]) for s, n in sizes.items())
+    names, ran, seen = M.names_of(part), Counter(), 0
+    exact = [float(share[s]) for s in names]
+    for i, turn, slot in M.turns(part, horizon, blocks):
+        assert slot == seen and turn == ran[i]
+        ran[i] += 1
+        seen += 1
+        if seen <= horizon:
+            assert all(abs(ran[k] - seen * w) < 1 + 1e-9 for k, w in enumerate(exact))
+    assert horizon <= seen <= horizon + len(names)
+    assert all(ran[i] >= blocks[s] for i, s in enumerate(names))
+
+
+def test_a_small_source_is_repeated_by_its_target_only(spark):
+    out = M.mix(frame(spark, {"hot": 20_000, "small": 2}), power=0.5, block=1).filter("epoch = 0 OR source = 'small'")
+    got = Counter(r["source"] for r in out.select("source").collect())
+    assert got["hot"] == 20_000 and got["small"] in (200, 201)
