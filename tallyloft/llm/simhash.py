@@ -15,8 +15,9 @@ spanning forest, never all pairs. Classes come from star contraction over stored
 Word edits move a fingerprint of long shingles by more bits than any trie can allow. ``near_copies``
 therefore takes as candidates the texts that share one of BANDS keys, each made of BAND_ROWS minima of hashes
 of the different five-word shingles: how often a pair is reached depends on its similarity alone, not on its
-length or on what was edited. A link counts only if a 512-bit SimHash of the same shingles puts the pair's
-similarity at 0.8 or more.
+length or on what was edited. A 512-bit SimHash of the same shingles is a loose filter; what it lets through
+counts only if the shingle sets of the two texts, read again, are alike by 0.8 or more. To test few of them, a
+first round tests a spanning forest of close pairs, and a second one all pairs that still join two classes.
 """
 
 from __future__ import annotations
@@ -325,9 +326,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", shingle: int = 3, budge
     return fps.join(classes, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-# At a similarity of 0.8 some 78 of the 512 sketch bits differ, 8 more or less; FAR takes one and a half such
-# deviations more, so that few pairs of 0.8 are missed; it takes some pairs down to about 0.75 with them.
-SKETCH_WORDS, FAR = 8, 90
+# At a similarity of 0.8 some 78 of the 512 sketch bits differ, 8 more or less (96 and 9 for texts of four and five
+# shingles). Pairs beyond LOOSE are not tested; those up to TIGHT are tested first.
+SKETCH_WORDS, TIGHT, LOOSE = 8, 90, 130
 # Texts of similarity J share a key with probability 1 - (1 - J ** BAND_ROWS) ** BANDS: 0.9998 at 0.8.
 BANDS, BAND_ROWS = 16, 4
 _SEEDS = mix64(np.arange(1, 2 * BANDS * BAND_ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(2, -1, 1)
@@ -350,7 +351,7 @@ def bands(h: np.ndarray) -> list[int]:
 
 
 def signatures(docs: DataFrame, text: str = "text", shingle: int = 5) -> DataFrame:
-    """doc_id, BANDS keys (b0, ...) and SKETCH_WORDS words (s0, ...) of a SimHash, both of its different shingles.
+    """doc_id, ``hash`` of the text, ``node`` (a hash of its set of shingles), BANDS keys (b0, ...) and SKETCH_WORDS words (s0, ...) of a SimHash of that set.
 
     Beyond the first, the hash functions are mixes of XXH64. A text without words has zeros.
     """
@@ -360,27 +361,162 @@ def signatures(docs: DataFrame, text: str = "text", shingle: int = 5) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = (np.unique(hashes(t, shingle)) for t in batch.column(1).to_pylist())
-            rows = [bands(h) + prints(h, SKETCH_WORDS) for h in sets]
-            table = np.array(rows, np.uint64).reshape(len(rows), -1).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(table[:, i]) for i in range(table.shape[1]))], names)
+            sets = (np.unique(hashes(t, shingle)) for t in batch.column(2).to_pylist())
+            rows = [[int(mix64(h).sum(dtype=np.uint64))] + bands(h) + prints(h, SKETCH_WORDS) for h in sets]
+            table = np.array(rows, np.uint64).reshape(len(rows), len(names) - 2).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), *(pa.array(table[:, i]) for i in range(table.shape[1]))], names)
 
-    names = ["doc_id", *(f"b{i}" for i in range(BANDS)), *(f"s{i}" for i in range(SKETCH_WORDS))]
+    names = ["doc_id", "hash", "node", *(f"b{i}" for i in range(BANDS)), *(f"s{i}" for i in range(SKETCH_WORDS))]
     schema = ", ".join(f"{n} long" for n in names)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("__text")).mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("hash"), F.col(text).alias("__text")).mapInArrow(run, schema)
 
 
-def near_copies(docs: DataFrame, text: str = "text", shingle: int = 5, far: int = FAR, cell_rows: int = 1024) -> DataFrame:
-    """``doc_id`` and ``component_id`` (smallest doc_id of its class) of documents that are near copies of each other.
+def cell_pairs(marks: np.ndarray, side: np.ndarray | None, label: np.ndarray, tight: int, loose: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
+    """Pairs (rows i, rows j, bits, kind) of one cell, of sketches within ``loose`` bits and of different labels.
 
-    Near copies: five-word shingles of a similarity of 0.8 or more, as the 512 bits of a SimHash tell it, found
-    where one of the band keys is the same. Rows with a null doc_id take no part; nulls and empty texts are one class; rows that repeat a doc_id are one document.
+    Kind 0: a spanning forest of groups joined within ``tight`` bits or by one label. Kind 1: all pairs between groups.
+    Given ``side``, rows of one side are not compared. A group costs a comparison of each of its rows with those not in a group yet.
+    """
+    out, rest = [], np.arange(len(marks))
+    while len(rest) > 1:
+        queue, rest, open_ = [rest[0]], rest[1:], []
+        while queue and len(rest):
+            i = queue.pop()
+            bits = np.bitwise_count(marks[rest] ^ marks[i]).sum(axis=1, dtype=np.int64)
+            ok = bits <= loose if side is None else (bits <= loose) & (side[rest] != side[i])
+            same = label[rest] == label[i]
+            joined = same | (ok & (bits <= tight))
+            new = joined & ~same
+            if new.any():
+                out.append((np.full(new.sum(), i), rest[new], bits[new], 0))
+            later = ok & ~joined
+            if later.any():
+                open_.append((i, rest[later], bits[later]))
+            queue.extend(rest[joined].tolist())
+            rest = rest[~joined]
+        for i, j, bits in open_:
+            still = np.isin(j, rest) & (label[j] != label[i])
+            if still.any():
+                out.append((np.full(still.sum(), i), j[still], bits[still], 1))
+    return out
+
+
+def band_pairs(reps: DataFrame, keys: DataFrame, cell_rows: int, tight: int, loose: int) -> DataFrame:
+    """Pairs of nodes (``u`` > ``v``) with ``bits``, ``kind`` and their cell (``band``, ``key``), as ``cell_pairs`` gives them.
+
+    ``reps``: node, label and sketch; ``keys``: band, key and node. Cells of over ``cell_rows`` rows are tiled.
+    """
+    spark = reps.sparkSession
+    sketch = [c for c in reps.columns if c[0] == "s"]
+    cells = keys.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
+    cells = stored(cells.select("band", "key", F.ceil(F.col("n") / cell_rows).cast("int").alias("tiles")), "cells")
+    tiled = keys.join(cells, ["band", "key"]).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    dealt = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
+        "band", "key", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), (F.col("tile") > F.col("other")).cast("int").alias("side"), "node"
+    )
+    cell = ["band", "key", "t1", "t2"]
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(reps.count() * BANDS / 2_000_000))
+    dealt = dealt.join(reps.select("node", "label", *sketch), "node").repartition(n, *cell).sortWithinPartitions(*cell, "side", "node")
+
+    def out(frame: pd.DataFrame) -> pd.DataFrame:
+        ids = [frame[k].to_numpy() for k in cell]
+        node, label, side = (frame[k].to_numpy() for k in ("node", "label", "side"))
+        marks = np.stack([frame[c].to_numpy().astype(np.int64).view(np.uint64) for c in sketch], axis=1)
+        new = np.ones(len(frame), bool)
+        new[1:] = np.any([x[1:] != x[:-1] for x in ids], axis=0)
+        starts = np.flatnonzero(new)
+        ends = np.append(starts[1:], len(frame))
+        whole = ids[2][starts] == ids[3][starts]
+        found = []
+        two = starts[whole & (ends - starts == 2)]
+        bits = np.bitwise_count(marks[two] ^ marks[two + 1]).sum(axis=1, dtype=np.int64)
+        for kind, hit in enumerate((bits <= tight, (bits > tight) & (bits <= loose))):
+            hit = hit & (label[two] != label[two + 1])
+            found.append((two[hit], two[hit] + 1, bits[hit], kind))
+        for a, b, w in zip(starts.tolist(), ends.tolist(), whole.tolist()):
+            if b - a > 2 or (not w and b - a == 2):
+                found += [(a + i, a + j, d, k) for i, j, d, k in cell_pairs(marks[a:b], None if w else side[a:b], label[a:b], tight, loose)]
+        i, j, bits = (np.concatenate([f[k] for f in found]).astype(np.int64) for k in range(3))
+        kind = np.concatenate([np.full(len(f[0]), f[3], np.int64) for f in found])
+        return pd.DataFrame({"u": np.maximum(node[i], node[j]), "v": np.minimum(node[i], node[j]), "bits": bits, "kind": kind, "band": ids[0][i], "key": ids[1][i]})
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, waiting = [], 0
+        for batch in batches:
+            held.append(batch)
+            waiting += len(batch)
+            if waiting >= 100_000:
+                frame = pd.concat(held, ignore_index=True)
+                last = int((frame[cell] == frame[cell].iloc[-1].tolist()).all(axis=1).to_numpy().argmax())
+                if last:
+                    yield out(frame.iloc[:last])
+                held, waiting = [frame.iloc[last:]], len(frame) - last
+        if waiting:
+            yield out(pd.concat(held, ignore_index=True))
+
+    return dealt.mapInPandas(walk, "u long, v long, bits long, kind long, band int, key long")
+
+
+def alike(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of ``pairs`` (u, v) whose texts (node, __text) have sets of shingles alike by ``similarity`` or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, of = None, None
+        for batch in batches:
+            u, v, a, b = (batch.column(k) for k in range(4))
+            good = []
+            for k, at in enumerate(v.to_pylist()):
+                if at != last:  # rows of one v come in a row
+                    last, of = at, np.unique(hashes(b[k].as_py(), shingle))
+                mine = np.unique(hashes(a[k].as_py(), shingle))
+                both = len(np.intersect1d(mine, of, assume_unique=True))
+                good.append(both >= similarity * (len(mine) + len(of) - both) - 1e-9)
+            keep = pa.array(good, pa.bool_())
+            yield pa.RecordBatch.from_arrays([u.filter(keep), v.filter(keep)], ["u", "v"])
+
+    needed = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    read = stored(texts.join(needed, "node", "left_semi"), "texts")
+    first = pairs.join(read.select(F.col("node").alias("u"), F.col("__text").alias("a")), "u")
+    both = first.join(read.select(F.col("node").alias("v"), F.col("__text").alias("b")), "v")
+    good = stored(both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long"), "alike")
+    discard(read)
+    return good
+
+
+def near_copies(docs: DataFrame, text: str = "text", shingle: int = 5, similarity: float = 0.8, tight: int = TIGHT, loose: int = LOOSE, cell_rows: int = 1024) -> DataFrame:
+    """``doc_id``, ``hash`` of the text and ``component_id`` (smallest doc_id of its class) of documents that are near copies of each other.
+
+    Near copies: sets of five-word shingles alike by ``similarity`` or more, or joined by a chain of such pairs. Rows
+    with a null doc_id take no part; nulls and empty texts are one class; rows that repeat a doc_id and its text are
+    one document, while one doc_id with several texts stands for each of them. ``head`` marks the document that
+    stands for its class: of the smallest doc_id, and of its texts in the class the one of the smallest hash.
     """
     sigs = stored(signatures(docs, text, shingle).filter("doc_id IS NOT NULL"), "signatures")
-    prints, sketch = tuple(c for c in sigs.columns if c[0] == "b"), tuple(c for c in sigs.columns if c[0] == "s")
-    reps = stored(sigs.groupBy(*prints, *sketch).agg(F.min("doc_id").alias("rep")), "representatives")
-    same = [sigs[c] == reps[c] for c in (*prints, *sketch)]
-    own = stored(sigs.join(reps, same).select(sigs["doc_id"], reps["rep"]), "copies")
-    links = near_links(reps, 0, cell_rows, prints, sketch, far).union(own.filter("doc_id <> rep"))
-    roots = stored(components(links), "roots")
-    return own.select("doc_id").distinct().join(roots, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("root", "doc_id").alias("component_id"))
+    keep = [c for c in sigs.columns if c[0] in "bs"]
+    head = F.min(F.struct("doc_id", "hash")).alias("head")
+    reps = stored(sigs.groupBy("node").agg(head, *(F.first(c).alias(c) for c in keep)), "representatives")
+    sketch = reps.select("node", *(c for c in keep if c[0] == "s"))
+    keys = reps.select("node", F.posexplode(F.array(*(c for c in keep if c[0] == "b"))).alias("band", "key"))
+    where = reps.select("node", F.col("head.doc_id").alias("d"), F.col("head.hash").alias("h"))
+    own = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64(text).alias("h"), F.col(text).alias("__text"))
+    # The rows of one (doc_id, hash) hold one text.
+    texts = own.join(where, ["d", "h"]).select("node", "__text").dropDuplicates(["node"])
+    walked = stored(band_pairs(sketch.withColumn("label", F.col("node")), keys, cell_rows, tight, loose), "pairs")
+    forest = walked.filter("kind = 0").groupBy("u").agg(F.min(F.struct("bits", "v")).alias("m")).select("u", F.col("m.v").alias("v"))
+    forest = stored(forest, "forest")
+    good = alike(forest, texts, shingle, similarity)
+    roots = stored(components(good), "roots")
+
+    def labelled(df: DataFrame, node: str, label: str) -> DataFrame:
+        return df.join(roots.toDF(node, "__root"), node, "left").withColumn(label, F.coalesce("__root", node)).drop("__root")
+
+    apart = stored(labelled(labelled(walked, "u", "lu"), "v", "lv").filter("lu <> lv"), "apart")
+    # Cells in which a close pair has failed: their groups may be joined by other pairs.
+    torn = apart.filter("kind = 0").select("band", "key").distinct()
+    again = band_pairs(labelled(sketch, "node", "label"), keys.join(torn, ["band", "key"], "left_semi"), cell_rows, -1, loose)
+    pairs = stored(apart.filter("kind = 1").select("u", "v").union(again.select("u", "v")).distinct().join(forest, ["u", "v"], "left_anti"), "pairs")
+    roots = stored(components(good.union(alike(pairs, texts, shingle, similarity))), "roots")
+    classes = labelled(reps.select("node", "head"), "node", "label")
+    classes = stored(classes.join(classes.groupBy("label").agg(F.min("head").alias("first")), "label").select("node", "first"), "classes")
+    head = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("hash") == F.col("first.hash"))
+    return sigs.select("doc_id", "hash", "node").distinct().join(classes, "node").select("doc_id", "hash", F.col("first.doc_id").alias("component_id"), head.alias("head"))

@@ -178,3 +178,34 @@ def test_truncated_appended_and_short_copies_are_found(spark):
         found = sum(got[j] == i for j, i in pairs) / len(pairs)
         print(band, len(pairs), found)
         assert found >= 0.9, band
+
+
+def brute_classes(texts, similarity=0.8):
+    """Smallest id of the class of each text, from all pairs."""
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} for i, w in ((i, t.split()) for i, t in texts.items())}
+    label = {i: i for i in texts}
+    links = [(i, j) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) >= similarity * len(sets[i] | sets[j]) - 1e-9]
+    for _ in texts:
+        before = dict(label)
+        for i, j in links:
+            label[i] = label[j] = min(label[i], label[j])
+        if before == label:
+            return label
+
+
+def test_links_are_verified_by_the_shingles_themselves(spark):
+    rng = random.Random(21)
+    words = [f"w{i}" for i in range(2000)]
+    texts = {}
+    for _ in range(40):  # families around the threshold: some links hold, some do not, chains join others
+        base = [rng.choice(words) for _ in range(rng.randint(6, 160))]
+        for _ in range(6):
+            copy = list(base)
+            for at in rng.sample(range(len(base)), round(len(base) * rng.choice((0.01, 0.02, 0.025, 0.03)))):
+                copy[at] = rng.choice(words)
+            texts[len(texts)] = " ".join(copy[: rng.randint(len(copy) - len(copy) // 10, len(copy))])
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    want = brute_classes(texts)
+    assert 60 < len(set(want.values())) < 200
+    for cell_rows in (1024, 2):
+        assert {r["doc_id"]: r["component_id"] for r in S.near_copies(df, cell_rows=cell_rows).collect()} == want
