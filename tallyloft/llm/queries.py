@@ -125,21 +125,25 @@ def _escaped(sql: str) -> str:
       SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
       UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')
     ), lined AS (
-      SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS n, CAST(ceil(length(text) / 4.0) AS BIGINT) + 5 AS len FROM raw
+      SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS n, CAST(ceil(length(text) / 4.0) AS BIGINT) + 5 AS len,
+             24 + length(ROLE) + length(TEXT) AS size
+      FROM raw
     ), heads AS (
-      SELECT conv_id, max(len) AS longest, max(CASE WHEN n = 1 AND role = 'system' THEN len END) AS sys FROM lined GROUP BY conv_id
+      SELECT conv_id, max(CASE WHEN len <= 512 THEN len ELSE 0 END) AS longest, max(CASE WHEN n = 0 AND role = 'system' THEN len END) AS sys FROM lined GROUP BY conv_id
     ), measured AS (
-      SELECT l.*, n = 1 AND role = 'system' AS leads, greatest(1, 2048 - 256 - coalesce(sys, 0) - longest) AS stride FROM lined l JOIN heads USING (conv_id)
+      SELECT l.*, coalesce(sys <= 1024, false) AS repeats, n = 0 AND role = 'system' AS leads, len > 512 AND NOT (n = 0 AND role = 'system') AS alone,
+             greatest(512, 2048 - 256 - CASE WHEN sys <= 1024 THEN sys ELSE 0 END - longest) AS stride
+      FROM lined l JOIN heads USING (conv_id)
     ), summed AS (
-      SELECT *, coalesce(sum(CASE WHEN leads THEN 0 ELSE len END) OVER (PARTITION BY conv_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM measured
+      SELECT *, coalesce(sum(CASE WHEN leads THEN 0 ELSE len END) OVER upto, 0) AS before, coalesce(sum(CASE WHEN leads OR alone THEN 0 ELSE len END) OVER upto, 0) AS small,
+             coalesce(sum(CASE WHEN alone THEN 1 ELSE 0 END) OVER upto, 0) AS larges
+      FROM measured WINDOW upto AS (PARTITION BY conv_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
     ), placed AS (
-      SELECT *, floor(before / stride) AS win,
-             24 + length(ROLE) + length(TEXT) AS size
-      FROM summed
+      SELECT *, CASE WHEN alone THEN 0 ELSE floor(small / stride) END AS stride_no FROM summed
     ), opens AS (
-      SELECT conv_id, win, min(before) AS opens FROM placed GROUP BY conv_id, win
+      SELECT conv_id, min(n) AS win, min(before) AS opens FROM placed GROUP BY conv_id, larges, alone, stride_no
     ), again AS (
-      SELECT p.conv_id, sum(p.size) AS chars FROM placed p JOIN opens o ON o.conv_id = p.conv_id AND o.win > p.win AND (p.leads OR o.opens - p.before <= 256) GROUP BY p.conv_id
+      SELECT p.conv_id, sum(p.size) AS chars FROM placed p JOIN opens o ON o.conv_id = p.conv_id AND o.win > p.n AND CASE WHEN p.leads THEN p.repeats ELSE o.opens - p.before <= 256 END GROUP BY p.conv_id
     ), whole AS (
       SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
              coalesce(string_agg(text, '' ORDER BY n) FILTER (WHERE role = 'assistant'), '') AS loss, sum(size) AS chars

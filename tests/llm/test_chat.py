@@ -64,3 +64,57 @@ def test_empty_and_native(spark):
     assert C.windows(df).count() == 0
     plan = C.digests(C.windows(df))._jdf.queryExecution().toString()
     assert not any(w in plan for w in ("Python", "Pandas", "Arrow"))
+
+
+def plain_windows(rows, budget, history):
+    """(first own turn, own turns, repeated turns, tokens) of each window of each conversation, one turn after the other."""
+    out = {}
+    for conv in {r[0] for r in rows}:
+        turns = sorted(((r[1] is not None, r[1] or 0, r[2] or "", r[3] or "") for r in rows if r[0] == conv))
+        cost = [-(-len(t[3]) // 4) + 5 for t in turns]
+        system = cost[0] if turns[0][2] == "system" else None
+        kept = system is not None and system <= budget // 2
+        longest = max([c for c in cost if c <= budget // 4], default=0)
+        stride = max(budget // 4, budget - history - (system if kept else 0) - longest)
+        keys, small, larges = [], 0, 0
+        for i, c in enumerate(cost):
+            if i == 0 and system is not None:
+                keys.append((0, False, 0))
+            elif c > budget // 4:
+                keys.append((larges, True, 0))
+                larges += 1
+            else:
+                keys.append((larges, False, small // stride))
+                small += c
+        done = []
+        for key in dict.fromkeys(keys):
+            own = [i for i, k in enumerate(keys) if k == key]
+            past, used = [], 0
+            for i in range(own[0] - 1, 0 if system is not None else -1, -1):
+                used += cost[i]
+                if used > history:
+                    break
+                past.append(i)
+            again = own[0] > 0 and kept
+            done.append((own[0], len(own), len(past) + again, sum(cost[i] for i in own + past) + (system if again else 0)))
+        out[conv] = sorted(done)
+    return out
+
+
+def test_windows_against_plain_code(spark):
+    rng = random.Random(5)
+    rows = conversations()
+    rows += [(200, t, "system" if t == 0 else "user", "w" * rng.choice([1, 40, 200, 400, 700, 3000])) for t in range(1400)]
+    rows += [(201, t, "system" if t == 0 else "assistant", "w" * (5000 if t == 0 else 80)) for t in range(60)] + [(202, t, "system", "same") for t in (0, 0, 0, 1)]
+    df = spark.createDataFrame(rows, KIND).repartition(5)
+    for budget, history in ((2048, 256), (400, 100), (160, 0)):
+        got = {}
+        for r in C.windows(df, budget, history).collect():
+            got.setdefault(r["conv_id"], []).append((r["window"], r["n_turns"], r["n_context"], r["tokens"]))
+        assert {c: sorted(w) for c, w in got.items()} == plain_windows(rows, budget, history)
+
+
+def test_one_long_turn_does_not_break_a_conversation_up(spark):
+    rows = [(1, t, "user" if t % 2 else "assistant", "w" * (7180 if t == 300 else 40)) for t in range(601)]
+    out = C.windows(spark.createDataFrame(rows, KIND)).collect()
+    assert len(out) <= 10 and sum(len(r["formatted"]) for r in out) < 1.5 * sum(len(r[3]) + 30 for r in rows)
