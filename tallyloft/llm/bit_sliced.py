@@ -7,8 +7,9 @@ the bit slices of every row's coarse score. From the most significant slice down
 coarse score is found, then all rows that may reach it given what the dropped bits can add or take.
 Those boundary rows are scored exactly, ties to the smaller id.
 
-Blocks of index rows and blocks of queries meet by an equality join on the query block; no row pair is
-formed. Every vector is indexed, so the result is exact at every size.
+Blocks of queries are small and go to the blocks of index rows: a task reads an index block once and answers
+the query blocks that follow it. No row pair is formed. Every vector is indexed, so the result is exact at
+every size.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ from tallyloft.llm.common import stored
 
 BLOCK_ROWS = 16_384
 BLOCK_QUERIES = 128
+LEAST_TASKS = 64  # a small index is dealt out several times, so that its few blocks keep as many tasks busy
 
 
 def pack(values: np.ndarray, bits: int, dropped: int) -> np.ndarray:
@@ -142,7 +144,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
     ``queries`` has vec_id and the vector like ``vectors``. Candidates are all rows but those of the
     query's own id; all, if fewer than k. Vectors that are null or hold null or non-finite components take
     no part; shorter ones count as padded with zeros. A row that repeats a vec_id is a candidate of its own;
-    a repeated query is answered once. Empty tables give an empty result. Values whose products could
+    a repeated query is answered once, by its least vector if they differ. Empty tables give an empty result. Values whose products could
     exceed 62 bits are an error.
     """
     spark = vectors.sparkSession
@@ -150,7 +152,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
     ok = f"vec_id IS NOT NULL AND `{vector}` IS NOT NULL AND NOT exists(`{vector}`, x -> x IS NULL OR isnan(x) OR abs(CAST(x AS DOUBLE)) = double('infinity'))"
     whole = F.expr(f"transform(`{vector}`, x -> CAST(floor({scale}D * CAST(x AS DOUBLE)) AS BIGINT))")
     data = stored(vectors.filter(ok).select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("v")), "vectors")
-    asked = queries.filter(ok).select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("v")).dropDuplicates(["vec_id"])
+    asked = queries.filter(ok).select(F.col("vec_id").cast("long").alias("vec_id"), whole.alias("v")).groupBy("vec_id").agg(F.min("v").alias("v"))
     n, dims, low, high = data.agg(F.count("*"), F.max(F.size("v")), F.min(F.array_min("v")), F.max(F.array_max("v"))).first()
     asked_n = asked.count()
     if not n or not asked_n or not dims:
@@ -179,20 +181,25 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
     index = data.withColumn("block", F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int")).groupBy("block").applyInPandas(index_block, "block int, rows int, ids binary, vals binary, planes binary")
     index = stored(index, "bit-sliced-index")
     asks = asked.withColumn("asker", F.pmod(F.xxhash64("vec_id"), F.lit(askers)).cast("int")).groupBy("asker").applyInPandas(ask_block, "asker int, qids binary, qvals binary")
-    pairs = index.withColumn("asker", F.explode(F.sequence(F.lit(0), F.lit(askers - 1)))).join(asks, "asker").repartition(blocks * askers, "block", "asker")
+    lanes = max(1, min(askers, LEAST_TASKS // blocks))
+    held = index.select("block", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"), F.lit(0).alias("kind"), "rows", "ids", "vals", "planes")
+    asks = asks.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod("asker", F.lit(lanes)).cast("int").alias("lane"), F.lit(1).alias("kind"), F.lit(0).alias("rows"), F.col("qids").alias("ids"), F.col("qvals").alias("vals"), F.lit(None).cast("binary").alias("planes"))
+    met = held.union(asks).repartition(blocks * lanes, "block", "lane").sortWithinPartitions("block", "lane", "kind")
 
     def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples():
-                ids = np.frombuffer(r.ids, np.int64)
-                values = np.frombuffer(r.vals, np.int32 if most < 1 << 31 else np.int64).reshape(r.rows, dims).astype(np.int64)
-                planes = np.frombuffer(r.planes, np.uint64).reshape(dims, bits, -1)
-                qids = np.frombuffer(r.qids, np.int64)
-                qvals = np.frombuffer(r.qvals, np.int64).reshape(len(qids), dims)
-                for qid, q in zip(qids.tolist(), qvals):
-                    found, score = search_block(ids, values, planes, q, qid, k, bits, dropped)
-                    yield pd.DataFrame({"query_id": qid, "vec_id": found, "score": score})
+                if r.kind == 0:
+                    ids = np.frombuffer(r.ids, np.int64)
+                    values = np.frombuffer(r.vals, np.int32 if most < 1 << 31 else np.int64).reshape(r.rows, dims).astype(np.int64)
+                    planes = np.frombuffer(r.planes, np.uint64).reshape(dims, bits, -1)
+                    continue
+                qids = np.frombuffer(r.ids, np.int64)
+                qvals = np.frombuffer(r.vals, np.int64).reshape(len(qids), dims)
+                out = [search_block(ids, values, planes, q, qid, k, bits, dropped) for qid, q in zip(qids.tolist(), qvals)]
+                sizes = [len(found) for found, _ in out]
+                yield pd.DataFrame({"query_id": np.repeat(qids, sizes), "vec_id": np.concatenate([f for f, _ in out]), "score": np.concatenate([x for _, x in out])})
 
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    found = pairs.mapInPandas(search, kind)
+    found = met.mapInPandas(search, kind)
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
