@@ -25,9 +25,19 @@ K, GROUP, SIZE = 5, 2, 32
 BLOCK = 1 << 20  # cells of (orders x k-mers) held at a time
 
 
-def multipliers(size: int) -> np.ndarray:
-    """Odd 32-bit factors, one for each order."""
-    return (mix64(np.arange(1, size + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+def seeds(size: int) -> np.ndarray:
+    """A 32-bit number for each order."""
+    return (mix64(np.arange(1, size + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
+
+
+def ordered(short: np.ndarray, seed: np.ndarray) -> np.ndarray:
+    """Orders x pairs: where each pair stands in each order, by a mixer of 32-bit numbers that differs with the seed."""
+    x = short[None, :] ^ seed[:, None]
+    x *= seed[:, None] | np.uint32(1)
+    x ^= x >> np.uint32(15)
+    x *= np.uint32(0x85EBCA6B)
+    x ^= x >> np.uint32(13)
+    return x
 
 
 def signature(codes: np.ndarray, k: int = K, group: int = GROUP, size: int = SIZE) -> np.ndarray:
@@ -52,12 +62,12 @@ def signature(codes: np.ndarray, k: int = K, group: int = GROUP, size: int = SIZ
     occurrence = rank - np.maximum.accumulate(np.where(new, rank, 0))
     pair = mix64(h[place] + occurrence.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     short = (pair >> np.uint64(32)).astype(np.uint32)
-    factors = multipliers(size)
+    seed = seeds(size)
     group = min(group, n)
     chosen = np.empty((size, group), np.int64)
     rows = max(1, BLOCK // n)
     for lo in range(0, size, rows):
-        value = factors[lo : lo + rows, None] * short[None, :]
+        value = ordered(short, seed[lo : lo + rows])
         at = np.arange(len(value))
         for g in range(group):
             best = value.argmin(axis=1)
@@ -118,14 +128,16 @@ def edited_likeness(docs: DataFrame, text: str = "text", k: int = K, group: int
     Null texts count as empty. Rows of one doc_id follow each other by their text's hash; a null doc_id
     comes last. A table of one row is its own next; an empty one gives none. Other columns are not read.
 
-    Texts move once, to ranges of neighbouring ids; the first text of each range also goes to the range before.
+    Texts move once, to ranges of neighbouring ids; the first text of each range also goes to the range before. There are
+    four ranges a shuffle partition, and a number of each reaches the driver, however many rows there are: a task streams
+    its ranges in order and holds one row.
     """
     spark = docs.sparkSession
     least = -(1 << 63) + 1
     rows = docs.select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(least)).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     ids = rows.select("id")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bounds, heads = _ranges(ids, max(4 * parts, ids.count() // 4096))
+    bounds, heads = _ranges(ids, 4 * parts)
     filled = [i for i, h in enumerate(heads) if h is not None]
     before = {b: a for a, b in zip(filled, filled[1:])} | ({filled[0]: filled[-1]} if filled else {})
     head = F.expr("get(array(" + ", ".join("NULL" if h is None else f"{h}L" for h in heads) + "), range)") if filled else F.lit(None)
