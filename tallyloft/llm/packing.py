@@ -3,9 +3,11 @@
 Documents longer than the longest sequence are cut into pieces; whole pieces of that length fill a
 sequence of their own. Packing looks at piece lengths only, so it runs on their histogram: at most one
 number for each length, however many documents there are. Lengths go in descending order; a piece goes
-to the open bin with the least room that holds it; if none does, a bin is opened at the permitted length
-that costs least for what it can hold. Each choice of a preferred length is tried and the cheapest
-outcome taken; in the end each bin shrinks to the smallest permitted length that holds its contents.
+to the open bin with the least room that holds it, of several to the fullest. If none does, bins are opened: all permitted lengths are weighed
+together, each by what a bin of it would cost a word once filled, largest first, with the pieces still to be packed,
+and shrunk to its contents; the cheapest is opened, as often as those pieces last, and counts on them from then on. In the end each bin shrinks to the
+smallest permitted length that holds its contents. Opening always at one length, where it holds the piece, is tried
+for each length too, and the cheapest outcome taken, so that weighing them jointly never costs more than any one.
 
 Bins that look alike are one group with a count, so a plan has at most a few entries for each length.
 Pieces then find their bins by their place among the pieces of their length, which is a place in a hash
@@ -15,6 +17,7 @@ bucket plus the sizes of the buckets before: no task holds all pieces of a lengt
 from __future__ import annotations
 
 import bisect
+import heapq
 from collections.abc import Callable
 
 import pandas as pd
@@ -33,17 +36,36 @@ def cost(length: int, fixed: int = 16) -> float:
 
 
 def plan(histogram: dict[int, int], lengths: tuple[int, ...] = LENGTHS, price: Callable[[int], float] = cost) -> tuple[list[tuple], list[tuple]]:
-    """Entries (length, first, end, bin, each, offset) and bins (first, end, used, capacity), the cheapest of all preferences.
+    """Entries (length, first, end, bin, each, offset) and bins (first, end, used, capacity), the cheapest of the joint plan and those of one preferred length.
 
     Pieces first..end-1 of a length go to bins from ``bin`` on, ``each`` to a bin, from ``offset`` inside it.
     """
-    tried = [_pack(histogram, lengths, prefer, price) for prefer in sorted(lengths)]
-    return min(tried, key=lambda t: sum((b[1] - b[0]) * price(b[3]) for b in t[1]))
+    tried = [best_fit(histogram, lengths, None, price)] + [best_fit(histogram, lengths, prefer, price) for prefer in sorted(lengths)]
+    return min(tried, key=lambda t: total_cost(t[1], price))
 
 
-def _pack(histogram: dict[int, int], lengths: tuple[int, ...], prefer: int, price: Callable[[int], float]):
+def total_cost(bins: list[tuple], price: Callable[[int], float] = cost) -> float:
+    return sum((end - first) * price(capacity) for first, end, _, capacity in bins)
+
+
+def best_fit(histogram: dict[int, int], lengths: tuple[int, ...], prefer: int | None, price: Callable[[int], float]):
+    """A plan by best fit; with ``prefer``, bins are opened at that length where it holds the piece."""
+    order = sorted(histogram)
+    rest = dict(histogram)  # pieces still to be packed that no open bin counts on
+
+    def filled(capacity: int, length: int) -> tuple[float, int, list[tuple[int, int]]]:
+        """Cost a word of a bin opened for ``length`` and filled largest first, how many such bins the pieces last for, and a bin's pieces."""
+        held, room, k = [], capacity, bisect.bisect_right(order, length)
+        while k:
+            k = bisect.bisect_right(order, room, 0, k) - 1
+            if k >= 0 and (many := min(room // order[k], rest[order[k]])) > 0:
+                held.append((order[k], many))
+                room -= many * order[k]
+            k = max(k, 0)
+        return price(min(c for c in lengths if c >= capacity - room)) / (capacity - room), min(rest[x] // n for x, n in held), held
+
     entries: list[tuple] = []
-    room: dict[int, list[tuple[int, int, int]]] = {}  # groups (first bin, end, used) by the room they have left
+    room: dict[int, list[tuple[int, int, int]]] = {}  # heaps of groups (-used, first bin, end) by the room they have left
     rooms: list[int] = []
     closed: list[tuple[int, int, int]] = []
     opened = 0
@@ -55,23 +77,31 @@ def _pack(histogram: dict[int, int], lengths: tuple[int, ...], prefer: int, pric
         if left not in room:
             room[left] = []
             bisect.insort(rooms, left)
-        room[left].append((first, end, used))
+        heapq.heappush(room[left], (-used, first, end))
 
-    for length in sorted(histogram, reverse=True):
+    for length in reversed(order):
         at, left = 0, histogram[length]
         while left:
+            rest[length] = left
             k = bisect.bisect_left(rooms, length)
             if k < len(rooms):
                 free = rooms[k]
-                first, end, used = room[free].pop()
+                used, first, end = heapq.heappop(room[free])
+                used = -used
                 if not room[free]:
                     del room[free]
                     rooms.pop(k)
             else:
-                fits = [c for c in lengths if c >= length]
-                free = min(fits, key=lambda c: (c != prefer, price(c) / (c // length * length), c))
+                fits, times = [c for c in lengths if c >= length], left
+                if prefer in fits:
+                    free = prefer
+                else:
+                    (_, times, held), free = min(((filled(c, length), c) for c in fits), key=lambda x: (x[0][0], x[1]))
+                    times = min(times, -(-left // (free // length)))
+                    for x, n in held:
+                        rest[x] -= n * times
                 first, used = opened, 0
-                end = first + -(-left // (free // length))
+                end = first + min(times, -(-left // (free // length)))
                 opened = end
             each = free // length
             full = min(end - first, left // each)
@@ -85,7 +115,8 @@ def _pack(histogram: dict[int, int], lengths: tuple[int, ...], prefer: int, pric
                 at, left, first = at + left, 0, first + 1
             if first < end:
                 put(free, first, end, used)
-    bins = closed + [g for groups in room.values() for g in groups]
+        rest[length] = 0
+    bins = closed + [(first, end, -used) for groups in room.values() for used, first, end in groups]
     return entries, sorted((a, b, used, min(c for c in lengths if c >= used)) for a, b, used in bins)
 
 

@@ -8,34 +8,65 @@ from tallyloft.llm import packing as P
 
 
 def plain(sizes, lengths, prefer):
-    """Best fit decreasing, piece by piece: contents of each bin and its final capacity."""
-    bins = []
-    for s in sorted(sizes, reverse=True):
+    """Best fit decreasing, piece by piece: contents of each bin and its final capacity. Without ``prefer``, lengths are weighed jointly."""
+    final = lambda used: min(c for c in lengths if c >= used)
+    bins, rest = [], Counter(sizes)  # rest: pieces that no open bin counts on
+
+    def filled(c, s):
+        took, room = Counter(), c
+        for x in sorted(rest, reverse=True):
+            while x <= min(s, room) and took[x] < rest[x]:
+                took[x] += 1
+                room -= x
+        return P.cost(final(c - room)) / (c - room), c, took
+
+    todo = sorted(sizes, reverse=True)
+    for i, s in enumerate(todo):
+        if i and todo[i - 1] != s:
+            rest[todo[i - 1]] = 0
+        rest[s] = todo[i:].count(s)
         fits = [b for b in bins if b[0] >= s]
-        if fits:
-            b = min(fits, key=lambda b: (b[0], b[2]))
-        else:
-            c = min((c for c in lengths if c >= s), key=lambda c: (c != prefer, P.cost(c) / (c // s * s), c))
-            b = [c, [], len(bins)]
-            bins.append(b)
+        if not fits:
+            many, c = 1, prefer
+            if prefer is None or prefer < s:
+                _, c, took = min((filled(c, s) for c in lengths if c >= s), key=lambda x: x[:2])
+                many = min(min(rest[x] // n for x, n in took.items()), -(-rest[s] // (c // s)))
+                rest.subtract({x: n * many for x, n in took.items()})
+            fits = [[c, [], len(bins) + j] for j in range(many)]
+            bins += fits
+        b = min(fits, key=lambda b: (b[0], -sum(b[1]), b[2]))
         b[0] -= s
         b[1].append(s)
-    return [(tuple(b[1]), min(c for c in lengths if c >= sum(b[1]))) for b in bins]
+    return [(tuple(b[1]), final(sum(b[1]))) for b in bins if b[1]]
+
+
+def contents(bins):
+    used = Counter()
+    for a, b, u, c in bins:
+        used[(u, c)] += b - a
+    return used
 
 
-@pytest.mark.parametrize("seed", range(6))
+@pytest.mark.parametrize("seed", range(9))
 def test_plan_packs_like_piece_by_piece(seed):
     rng = random.Random(seed)
     lengths = [(16,), (8, 16, 32), (10, 25, 60)][seed % 3]
     sizes = [rng.randint(1, max(lengths)) for _ in range(rng.choice([1, 30, 400]))] + [3] * rng.choice([0, 50])
-    got = P.plan(Counter(sizes), lengths)
-    best = min((plain(sizes, lengths, p) for p in sorted(lengths)), key=lambda t: sum(P.cost(c) for _, c in t))
-    cost = sum((b - a) * P.cost(c) for a, b, _, c in got[1])
-    assert cost == sum(P.cost(c) for _, c in best)
-    used = Counter()
-    for a, b, u, c in got[1]:
-        used[(u, c)] += b - a
-    assert used == Counter((sum(s), c) for s, c in best)
+    costs = {}
+    for prefer in (None, *lengths):
+        want = plain(sizes, lengths, prefer)
+        _, bins = P.best_fit(Counter(sizes), lengths, prefer, P.cost)
+        assert contents(bins) == Counter((sum(s), c) for s, c in want), prefer
+        costs[prefer] = P.total_cost(bins)
+    assert P.total_cost(P.plan(Counter(sizes), lengths)[1]) == min(costs.values())
+
+
+def test_joint_search_beats_each_single_preference():
+    rng = random.Random(3)
+    histogram = Counter(min(2048, int(rng.lognormvariate(5.6, 1.0)) + 1) for _ in range(20_000))
+    costs = {p: P.total_cost(P.best_fit(histogram, P.LENGTHS, p, P.cost)[1]) for p in (None, *P.LENGTHS)}
+    print(costs, "words", sum(n * c for n, c in histogram.items()))
+    assert costs[None] <= min(costs[p] for p in P.LENGTHS)
 
 
 def test_pieces_lie_in_their_bins_without_gaps(spark):
