@@ -16,12 +16,12 @@ def letter_table() -> np.ndarray:
     return np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
 
 
-def chunks(texts: list[str | None]) -> Iterator[tuple[int, list[str]]]:
-    """Runs of texts of about CHUNK characters together, each with the place of its first."""
+def chunks(texts: list[str | None], most: int = CHUNK) -> Iterator[tuple[int, list[str]]]:
+    """Runs of texts of about ``most`` characters together, each with the place of its first."""
     at, part, size = 0, [], 0
     for i, t in enumerate(texts):
         t = t or ""
-        if part and size + len(t) > CHUNK:
+        if part and size + len(t) > most:
             yield at, part
             at, part, size = i, [], 0
         part.append(t)

@@ -60,8 +60,9 @@ def test_toxicity_finds_labelled_and_spares_clean(spark):
     model = toxicity.fit(docs, labels, learn=~toxicity.F.expr("crc32(cast(doc_id as string)) % 3 = 1"))
     got = toxicity.score(docs.join(labels, "doc_id").filter("crc32(cast(doc_id as string)) % 3 = 1").select("doc_id", "text", "toxic"), model, keep_text=False).collect()
     toxic, clean = [r for r in got if r["toxic"]], [r for r in got if not r["toxic"]]
-    assert sum(r["predicted"] for r in toxic) / len(toxic) > 0.8
-    assert sum(r["predicted"] for r in clean) / len(clean) < 0.03
+    caught, lost = sum(r["predicted"] for r in toxic), sum(r["predicted"] for r in clean)
+    print(f"toxic caught {caught} of {len(toxic)}, clean rejected {lost} of {len(clean)}")
+    assert caught / len(toxic) >= 0.9 and lost / len(clean) <= 0.01
 
 
 def test_toxicity_generalises_to_misspellings_and_odd_input(spark):
@@ -81,6 +82,84 @@ def test_toxicity_generalises_to_misspellings_and_odd_input(spark):
     assert toxicity.score(ask.limit(0), model).count() == 0
 
 
+def plain_grams(word):
+    """The character n-grams of a word's runs of letters, with an end at either side."""
+    out = []
+    for run in "".join(c if c.isalpha() else " " for c in word).split():
+        edged = f" {run} "
+        out += [edged[i : i + n] for n in toxicity.ORDERS for i in range(len(edged) - n + 1)]
+    return out
+
+
+def plain_bags(text, window):
+    """The words of each bag: every occurrence, words without letters left out, the last bag with what is left over."""
+    words = [w for w in text.lower().split() if plain_grams(w)]
+    cuts = [i for i in range(0, len(words), window) if i == 0 or len(words) - i >= window]
+    return [words[a:b] for a, b in zip(cuts, cuts[1:] + [len(words)])]
+
+
+def bucket_of(gram, bits):
+    codes = np.array([0 if c == " " else ord(c) for c in gram], np.uint32)
+    return int(grams.buckets(codes, len(gram), bits)[0])
+
+
+def plain_logit(text, weight, bias, bits, window):
+    z = []
+    for bag in plain_bags(text, window):
+        found = [weight[bucket_of(g, bits)] for w in bag for g in plain_grams(w)]
+        z.append(sum(found) / max(len(found), toxicity.FULL))
+    share = [math.exp(x) for x in z]
+    return bias + sum(x * s for x, s in zip(z, share)) / sum(share) if z else bias
+
+
+def test_scoring_against_plain_code():
+    rng = np.random.default_rng(2)
+    texts = ["one two, three-four 12 five five five", "a", "", None, "zz " * 41, "Ünïcode çafé %% naïve", "12 !"]
+    for window in (1, 2, 3):
+        model = toxicity.ToxicityModel(rng.normal(0, 9, 1 << 12).astype(np.float32), -0.7, 12, window)
+        score = model.scorer(grams.letter_table())
+        for ask in (texts, texts[::-1]):  # the second time from what the first has kept
+            want = [plain_logit(t or "", model.weight, -0.7, 12, window) for t in ask]
+            assert score(ask) == pytest.approx(want, rel=1e-5, abs=1e-6)
+
+
+def test_one_training_step_is_the_gradient_of_the_loss():
+    rng = np.random.default_rng(4)
+    texts, toxic, share = ["bad words here and", "good good text", "so bad"], np.array([1, 0, 1]), np.array([0.6, 1.4, 0.6])
+    bits, dim, window, rate = 8, 3, 2, 0.5
+    words = sorted({w for t in texts for w in t.split()})
+    ids, sizes = toxicity.word_grams(words, grams.letter_table(), bits)
+    assert [sorted(bucket_of(g, bits) for g in plain_grams(w)) for w in words] == [sorted(x.tolist()) for x in np.split(ids, np.cumsum(sizes)[:-1])]
+    emb, soft, bias = rng.normal(0, 1, ((1 << bits) + 1, dim)), rng.normal(0, 1, (2, dim)), np.array([0.1, -0.2])
+    emb[-1] = 0
+
+    def loss(emb, soft, bias):
+        """The mean weighted log-loss, the weights that lean to the most toxic bags held as they are."""
+        total = 0.0
+        for t, y, s, held in zip(texts, toxic, share, weights):
+            z = [sum(emb[bucket_of(g, bits)] @ (soft[1] - soft[0]) for w in bag for g in plain_grams(w)) / max(sum(len(plain_grams(w)) for w in bag), toxicity.FULL) for bag in plain_bags(t, window)]
+            p = 1 / (1 + math.exp(-(np.dot(z, held) + bias[1] - bias[0])))
+            total -= s * math.log(p if y else 1 - p)
+        return total / len(texts)
+
+    weights = []
+    for t in texts:
+        z = np.array([sum(emb[bucket_of(g, bits)] @ (soft[1] - soft[0]) for w in bag for g in plain_grams(w)) / max(sum(len(plain_grams(w)) for w in bag), toxicity.FULL) for bag in plain_bags(t, window)])
+        weights.append(np.exp(z) / np.exp(z).sum())
+    new = [emb.copy(), soft.copy(), bias.copy()]
+    which = np.array([words.index(w) for t in texts for w in t.split()])
+    owner = np.repeat(np.arange(3), [len(t.split()) for t in texts])
+    toxicity.step(*new, ids, sizes, which, owner, window, toxic, share, rate)
+    for k, (old, fresh, speed) in enumerate(zip((emb, soft, bias), new, (rate, 0.1, 0.1))):
+        for at in [tuple(x) for x in np.argwhere(old != fresh)[:12]] or [(0,) * old.ndim]:
+            sides = []
+            for h in (1e-5, -1e-5):
+                moved = [emb.copy(), soft.copy(), bias.copy()]
+                moved[k][at] += h
+                sides.append(loss(*moved))
+            assert old[at] - fresh[at] == pytest.approx(speed * (sides[0] - sides[1]) / 2e-5, rel=1e-4, abs=1e-9), (k, at)
+
+
 class PlainKneserNey:
     def __init__(self, texts):
         cls = quality.classes()
