@@ -15,9 +15,11 @@ spanning forest, never all pairs. Classes come from star contraction over stored
 Word edits move a fingerprint of long shingles by more bits than any trie can allow. ``near_copies``
 therefore takes as candidates the texts that share one of BANDS keys, each made of BAND_ROWS minima of hashes
 of the different five-word shingles: how often a pair is reached depends on its similarity alone, not on its
-length or on what was edited. A 512-bit SimHash of the same shingles is a loose filter; what it lets through
-counts only if the shingle sets of the two texts, read again, are alike by 0.8 or more. To test few of them, a
-first round tests a spanning forest of close pairs, and a second one all pairs that still join two classes.
+length or on what was edited. A cell, the texts of one key, gives a minimum spanning forest by a 512-bit SimHash
+of the same shingles, cut at a loose bound and at set sizes that cannot be alike. A link counts only if the shingle
+sets of the two texts themselves are alike by 0.8 or more: a first round tests one close pair a text, and a second
+one goes into each cell whose forest still joins two classes, with the shingle sets, and tests all its pairs there.
+No pair is a row but those that link.
 """
 
 from __future__ import annotations
@@ -290,19 +292,25 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     left. Every table of a round is written to the shared folder; nothing is collected. Both sides of
     the join are read from those tables, so that a node with very many links is split by the join.
     """
+
+    def state(edges: DataFrame):
+        return edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
+
     edges = stored(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "links")
+    was = state(edges)
     for _ in range(most_rounds):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
         hung = both.join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
         hung = hung.union(least.select(F.col("u").alias("a"), F.col("m").alias("b"))).filter("a <> b")
         nxt = stored(hung.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
-        was, now = (x.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first() for x in (edges, nxt))
+        now = state(nxt)
         discard(least)
         discard(edges)
         edges = nxt
         if was == now:
             break
+        was = now
     else:
         raise RuntimeError(f"classes have not settled in {most_rounds} rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").toDF("node", "root").distinct())
@@ -326,11 +334,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", shingle: int = 3, budge
     return fps.join(classes, "fp", "left").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-# At a similarity of 0.8 some 78 of the 512 sketch bits differ, 8 more or less (96 and 9 for texts of four and five
-# shingles). Pairs beyond LOOSE are not tested; those up to TIGHT are tested first.
-SKETCH_WORDS, TIGHT, LOOSE = 8, 90, 130
+# At a similarity of 0.8 some 78 of the 512 sketch bits differ, 8 more or less; 96 and 9 for texts of four and five
+# shingles. Pairs beyond these bounds (five deviations, four for few shingles) are not tested.
+SKETCH_WORDS, LOOSE, LOOSE_FEW, FEW = 8, 118, 132, 24
 # Texts of similarity J share a key with probability 1 - (1 - J ** BAND_ROWS) ** BANDS: 0.9998 at 0.8.
 BANDS, BAND_ROWS = 16, 4
+TILE_BYTES = 24 << 20  # of shingle hashes in a tile of the second round
 _SEEDS = mix64(np.arange(1, 2 * BANDS * BAND_ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(2, -1, 1)
 
 
@@ -351,7 +360,7 @@ def bands(h: np.ndarray) -> list[int]:
 
 
 def signatures(docs: DataFrame, text: str = "text", shingle: int = 5) -> DataFrame:
-    """doc_id, ``hash`` of the text, ``node`` (a hash of its set of shingles), BANDS keys (b0, ...) and SKETCH_WORDS words (s0, ...) of a SimHash of that set.
+    """doc_id, ``hash`` of the text, ``node`` (a hash of its set of shingles), their number (``size``), BANDS keys (b0, ...) and SKETCH_WORDS words (s0, ...) of a SimHash of that set.
 
     Beyond the first, the hash functions are mixes of XXH64. A text without words has zeros.
     """
@@ -362,99 +371,177 @@ def signatures(docs: DataFrame, text: str = "text", shingle: int = 5) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = (np.unique(hashes(t, shingle)) for t in batch.column(2).to_pylist())
-            rows = [[int(mix64(h).sum(dtype=np.uint64))] + bands(h) + prints(h, SKETCH_WORDS) for h in sets]
+            rows = [[int(mix64(h).sum(dtype=np.uint64)), len(h)] + bands(h) + prints(h, SKETCH_WORDS) for h in sets]
             table = np.array(rows, np.uint64).reshape(len(rows), len(names) - 2).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(1), *(pa.array(table[:, i]) for i in range(table.shape[1]))], names)
 
-    names = ["doc_id", "hash", "node", *(f"b{i}" for i in range(BANDS)), *(f"s{i}" for i in range(SKETCH_WORDS))]
+    names = ["doc_id", "hash", "node", "size", *(f"b{i}" for i in range(BANDS)), *(f"s{i}" for i in range(SKETCH_WORDS))]
     schema = ", ".join(f"{n} long" for n in names)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("hash"), F.col(text).alias("__text")).mapInArrow(run, schema)
 
 
-def cell_pairs(marks: np.ndarray, side: np.ndarray | None, label: np.ndarray, tight: int, loose: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, int]]:
-    """Pairs (rows i, rows j, bits, kind) of one cell, of sketches within ``loose`` bits and of different labels.
+def cell_forest(marks: np.ndarray, size: np.ndarray, side: np.ndarray | None, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows i, rows j and differing bits of a minimum spanning forest of one cell (Prim's algorithm).
 
-    Kind 0: a spanning forest of groups joined within ``tight`` bits or by one label. Kind 1: all pairs between groups.
-    Given ``side``, rows of one side are not compared. A group costs a comparison of each of its rows with those not in a group yet.
+    Rows are neighbours if their sketches are within the loose bound and their sizes allow ``similarity``; given ``side``,
+    rows of one side are not. A row costs one comparison with all rows not yet in a tree.
+    """
+    far = np.int64(1 << 20)
+    rest = np.arange(1, len(marks))
+    best, parent = np.full(len(rest), far), np.zeros(len(rest), np.int64)
+    at, out = 0, []
+    while len(rest):
+        bits = np.bitwise_count(marks[rest] ^ marks[at]).sum(axis=1, dtype=np.int64)
+        small, large = np.minimum(size[rest], size[at]), np.maximum(size[rest], size[at])
+        ok = (bits <= np.where(small < FEW, LOOSE_FEW, LOOSE)) & (small >= similarity * large - 1e-9)
+        if side is not None:
+            ok &= side[rest] != side[at]
+        nearer = ok & (bits < best)
+        best[nearer], parent[nearer] = bits[nearer], at
+        k = int(best.argmin())
+        at = int(rest[k])
+        if best[k] < far:
+            out.append((parent[k], at, best[k]))
+        rest, best, parent = np.delete(rest, k), np.delete(best, k), np.delete(parent, k)
+    table = np.array(out, np.int64).reshape(len(out), 3)
+    return table[:, 0], table[:, 1], table[:, 2]
+
+
+def cell_links(sets: list[np.ndarray], label: np.ndarray, side: np.ndarray | None, earlier: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links (i, j) between rows of different labels whose sets are alike by ``similarity``; a spanning forest of them.
+
+    Each row is compared with all others at once through the cell's vocabulary. ``earlier``: keys of the bands before this
+    cell's; rows that share one of them meet there. Given ``side``, rows of one side are not compared.
     """
-    out, rest = [], np.arange(len(marks))
-    while len(rest) > 1:
-        queue, rest, open_ = [rest[0]], rest[1:], []
-        while queue and len(rest):
-            i = queue.pop()
-            bits = np.bitwise_count(marks[rest] ^ marks[i]).sum(axis=1, dtype=np.int64)
-            ok = bits <= loose if side is None else (bits <= loose) & (side[rest] != side[i])
-            same = label[rest] == label[i]
-            joined = same | (ok & (bits <= tight))
-            new = joined & ~same
-            if new.any():
-                out.append((np.full(new.sum(), i), rest[new], bits[new], 0))
-            later = ok & ~joined
-            if later.any():
-                open_.append((i, rest[later], bits[later]))
-            queue.extend(rest[joined].tolist())
-            rest = rest[~joined]
-        for i, j, bits in open_:
-            still = np.isin(j, rest) & (label[j] != label[i])
-            if still.any():
-                out.append((np.full(still.sum(), i), j[still], bits[still], 1))
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    starts = np.cumsum(size) - size
+    has = np.zeros(int(ids.max()) + 1, np.int32)
+    label, out = label.copy(), []
+    for i in range(len(sets)):
+        ok = (label != label[i]) & (np.minimum(size, size[i]) >= similarity * np.maximum(size, size[i]) - 1e-9)
+        ok &= np.arange(len(sets)) > i if side is None else (side == 1) & (side[i] == 0)
+        if earlier.shape[1] and ok.any():
+            ok[ok] = ~(earlier[ok] == earlier[i]).any(axis=1)
+        if not ok.any():
+            continue
+        mine = ids[starts[i] : starts[i] + size[i]]
+        has[mine] = 1
+        both = np.add.reduceat(has[ids], starts)
+        has[mine] = 0
+        for j in np.flatnonzero(ok & (both >= similarity * (size + size[i] - both) - 1e-9)).tolist():
+            if label[j] != label[i]:
+                label[label == label[j]] = label[i]
+                out.append((i, j))
     return out
 
 
-def band_pairs(reps: DataFrame, keys: DataFrame, cell_rows: int, tight: int, loose: int) -> DataFrame:
-    """Pairs of nodes (``u`` > ``v``) with ``bits``, ``kind`` and their cell (``band``, ``key``), as ``cell_pairs`` gives them.
+CELL = ["band", "key", "t1", "t2"]
 
-    ``reps``: node, label and sketch; ``keys``: band, key and node. Cells of over ``cell_rows`` rows are tiled.
-    """
-    spark = reps.sparkSession
-    sketch = [c for c in reps.columns if c[0] == "s"]
-    cells = keys.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    cells = stored(cells.select("band", "key", F.ceil(F.col("n") / cell_rows).cast("int").alias("tiles")), "cells")
-    tiled = keys.join(cells, ["band", "key"]).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+
+def dealt_cells(rows: DataFrame, tiles: DataFrame, columns: list[str]) -> DataFrame:
+    """``rows`` (band, key, node and ``columns``) dealt to their cells, sorted; a cell of several ``tiles`` is one task for each pair of tiles."""
+    tiled = rows.join(tiles, ["band", "key"]).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     dealt = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
-        "band", "key", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), (F.col("tile") > F.col("other")).cast("int").alias("side"), "node"
+        "band", "key", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), (F.col("tile") > F.col("other")).cast("int").alias("side"), "node", *columns
     )
-    cell = ["band", "key", "t1", "t2"]
-    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(reps.count() * BANDS / 2_000_000))
-    dealt = dealt.join(reps.select("node", "label", *sketch), "node").repartition(n, *cell).sortWithinPartitions(*cell, "side", "node")
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows.count() / 2_000_000))
+    return dealt.repartition(n, *CELL).sortWithinPartitions(*CELL, "side", "node")
 
-    def out(frame: pd.DataFrame) -> pd.DataFrame:
-        ids = [frame[k].to_numpy() for k in cell]
-        node, label, side = (frame[k].to_numpy() for k in ("node", "label", "side"))
-        marks = np.stack([frame[c].to_numpy().astype(np.int64).view(np.uint64) for c in sketch], axis=1)
+
+def by_cell(batches: Iterator[pd.DataFrame], rows: int, weight=len) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]]:
+    """Frames of whole cells of about ``rows`` (by ``weight``) from sorted batches, with each cell's start, end and whether it is one tile with itself."""
+
+    def cut(frame: pd.DataFrame) -> tuple[pd.DataFrame, np.ndarray, np.ndarray, np.ndarray]:
+        ids = [frame[k].to_numpy() for k in CELL]
         new = np.ones(len(frame), bool)
         new[1:] = np.any([x[1:] != x[:-1] for x in ids], axis=0)
         starts = np.flatnonzero(new)
-        ends = np.append(starts[1:], len(frame))
-        whole = ids[2][starts] == ids[3][starts]
-        found = []
+        return frame, starts, np.append(starts[1:], len(frame)), ids[2][starts] == ids[3][starts]
+
+    held, waiting = [], 0
+    for batch in batches:
+        held.append(batch)
+        waiting += weight(batch)
+        if waiting >= rows:
+            frame = pd.concat(held, ignore_index=True)
+            last = int((frame[CELL] == frame[CELL].iloc[-1].tolist()).all(axis=1).to_numpy().argmax())
+            if last:
+                yield cut(frame.iloc[:last])
+            held = [frame.iloc[last:]]
+            waiting = weight(held[0])
+    if waiting:
+        yield cut(pd.concat(held, ignore_index=True))
+
+
+def forests(reps: DataFrame, keys: DataFrame, cell_rows: int, similarity: float) -> DataFrame:
+    """Edges of each cell's forest, as ``cell_forest`` gives them: nodes ``u`` > ``v``, ``bits``, the cell (``band``, ``key``) and its rows (``n``).
+
+    ``reps``: node, size and sketch; ``keys``: band, key and node. Cells of over ``cell_rows`` rows are tiled.
+    """
+    sketch = [c for c in reps.columns if c[0] == "s" and c != "size"]
+    cells = keys.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
+    cells = stored(cells.select("band", "key", F.ceil(F.col("n") / cell_rows).cast("int").alias("tiles"), "n"), "cells")
+    met = keys.join(cells.select("band", "key"), ["band", "key"], "left_semi").join(reps.select("node", "size", *sketch), "node")
+    dealt = dealt_cells(met, cells, ["size", *sketch, "n"])
+
+    def out(frame: pd.DataFrame, starts: np.ndarray, ends: np.ndarray, whole: np.ndarray) -> pd.DataFrame:
+        node, side, size = (frame[k].to_numpy() for k in ("node", "side", "size"))
+        marks = np.stack([frame[c].to_numpy().astype(np.int64).view(np.uint64) for c in sketch], axis=1)
         two = starts[whole & (ends - starts == 2)]
         bits = np.bitwise_count(marks[two] ^ marks[two + 1]).sum(axis=1, dtype=np.int64)
-        for kind, hit in enumerate((bits <= tight, (bits > tight) & (bits <= loose))):
-            hit = hit & (label[two] != label[two + 1])
-            found.append((two[hit], two[hit] + 1, bits[hit], kind))
+        small, large = np.minimum(size[two], size[two + 1]), np.maximum(size[two], size[two + 1])
+        hit = (bits <= np.where(small < FEW, LOOSE_FEW, LOOSE)) & (small >= similarity * large - 1e-9)
+        found = [(two[hit], two[hit] + 1, bits[hit])]
         for a, b, w in zip(starts.tolist(), ends.tolist(), whole.tolist()):
             if b - a > 2 or (not w and b - a == 2):
-                found += [(a + i, a + j, d, k) for i, j, d, k in cell_pairs(marks[a:b], None if w else side[a:b], label[a:b], tight, loose)]
+                i, j, d = cell_forest(marks[a:b], size[a:b], None if w else side[a:b], similarity)
+                found.append((a + i, a + j, d))
         i, j, bits = (np.concatenate([f[k] for f in found]).astype(np.int64) for k in range(3))
-        kind = np.concatenate([np.full(len(f[0]), f[3], np.int64) for f in found])
-        return pd.DataFrame({"u": np.maximum(node[i], node[j]), "v": np.minimum(node[i], node[j]), "bits": bits, "kind": kind, "band": ids[0][i], "key": ids[1][i]})
+        cell = {k: frame[k].to_numpy()[i] for k in ("band", "key", "n")}
+        return pd.DataFrame({"u": np.maximum(node[i], node[j]), "v": np.minimum(node[i], node[j]), "bits": bits, **cell})
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, waiting = [], 0
+        for part in by_cell(batches, 100_000):
+            yield out(*part)
+
+    return dealt.mapInPandas(walk, "u long, v long, bits long, band int, key long, n long")
+
+
+def links_inside(cells: DataFrame, nodes: DataFrame, keys: DataFrame, cell_rows: int, similarity: float) -> DataFrame:
+    """Links (``u`` > ``v``) between nodes of different labels in ``cells`` (band, key), tested by their sets there.
+
+    ``nodes``: node, label, ``h`` (the bytes of its sorted hashes) and the band keys b0, ... A cell is tiled by rows and by bytes.
+    """
+    own = [f"b{i}" for i in range(BANDS)]
+    rows = keys.join(cells, ["band", "key"], "left_semi").join(nodes, "node")
+    weight = F.greatest(F.count("*") / cell_rows, F.sum(F.length("h")) / TILE_BYTES)
+    tiles = stored(rows.groupBy("band", "key").agg(F.ceil(weight).cast("int").alias("tiles")), "tiles")
+    dealt = dealt_cells(rows, tiles, ["label", "h", *own])
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame, starts, ends, whole in by_cell(batches, TILE_BYTES, lambda f: int(f["h"].map(len).sum()) + 200 * len(f)):
+            node, side, label, band = (frame[k].to_numpy() for k in ("node", "side", "label", "band"))
+            keys_ = frame[own].to_numpy()
+            sets = [np.frombuffer(h, np.uint64) for h in frame["h"]]
+            found = []
+            for a, b, w in zip(starts.tolist(), ends.tolist(), whole.tolist()):
+                found += [(node[a + i], node[a + j]) for i, j in cell_links(sets[a:b], label[a:b], None if w else side[a:b], keys_[a:b, : band[a]], similarity)]
+            pairs = np.array(found, np.int64).reshape(len(found), 2)
+            yield pd.DataFrame({"u": pairs.max(axis=1, initial=-(1 << 63)), "v": pairs.min(axis=1, initial=(1 << 63) - 1)})
+
+    return dealt.mapInPandas(walk, "u long, v long").distinct()
+
+
+def hashed_sets(texts: DataFrame, shingle: int) -> DataFrame:
+    """``node`` and ``h``, the bytes of its different shingles' sorted hashes, of rows node and __text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held.append(batch)
-            waiting += len(batch)
-            if waiting >= 100_000:
-                frame = pd.concat(held, ignore_index=True)
-                last = int((frame[cell] == frame[cell].iloc[-1].tolist()).all(axis=1).to_numpy().argmax())
-                if last:
-                    yield out(frame.iloc[:last])
-                held, waiting = [frame.iloc[last:]], len(frame) - last
-        if waiting:
-            yield out(pd.concat(held, ignore_index=True))
+            sets = [np.unique(hashes(t, shingle)).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], ["node", "h"])
 
-    return dealt.mapInPandas(walk, "u long, v long, bits long, kind long, band int, key long")
+    return texts.select("node", "__text").mapInArrow(run, "node long, h binary")
 
 
 def alike(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -483,7 +570,7 @@ def alike(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -
     return good
 
 
-def near_copies(docs: DataFrame, text: str = "text", shingle: int = 5, similarity: float = 0.8, tight: int = TIGHT, loose: int = LOOSE, cell_rows: int = 1024) -> DataFrame:
+def near_copies(docs: DataFrame, text: str = "text", shingle: int = 5, similarity: float = 0.8, cell_rows: int = 1024) -> DataFrame:
     """``doc_id``, ``hash`` of the text and ``component_id`` (smallest doc_id of its class) of documents that are near copies of each other.
 
     Near copies: sets of five-word shingles alike by ``similarity`` or more, or joined by a chain of such pairs. Rows
@@ -492,31 +579,37 @@ def near_copies(docs: DataFrame, text: str = "text", shingle: int = 5, similarit
     stands for its class: of the smallest doc_id, and of its texts in the class the one of the smallest hash.
     """
     sigs = stored(signatures(docs, text, shingle).filter("doc_id IS NOT NULL"), "signatures")
-    keep = [c for c in sigs.columns if c[0] in "bs"]
+    banded = [f"b{i}" for i in range(BANDS)]
+    sketch = [f"s{i}" for i in range(SKETCH_WORDS)]
     head = F.min(F.struct("doc_id", "hash")).alias("head")
-    reps = stored(sigs.groupBy("node").agg(head, *(F.first(c).alias(c) for c in keep)), "representatives")
-    sketch = reps.select("node", *(c for c in keep if c[0] == "s"))
-    keys = reps.select("node", F.posexplode(F.array(*(c for c in keep if c[0] == "b"))).alias("band", "key"))
+    reps = stored(sigs.groupBy("node").agg(head, *(F.first(c).alias(c) for c in ("size", *banded, *sketch))), "representatives")
+    keys = reps.select("node", F.posexplode(F.array(*banded)).alias("band", "key"))
     where = reps.select("node", F.col("head.doc_id").alias("d"), F.col("head.hash").alias("h"))
     own = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64(text).alias("h"), F.col(text).alias("__text"))
     # The rows of one (doc_id, hash) hold one text.
     texts = own.join(where, ["d", "h"]).select("node", "__text").dropDuplicates(["node"])
-    walked = stored(band_pairs(sketch.withColumn("label", F.col("node")), keys, cell_rows, tight, loose), "pairs")
-    forest = walked.filter("kind = 0").groupBy("u").agg(F.min(F.struct("bits", "v")).alias("m")).select("u", F.col("m.v").alias("v"))
-    forest = stored(forest, "forest")
-    good = alike(forest, texts, shingle, similarity)
+    edges = stored(forests(reps.select("node", "size", *sketch), keys, cell_rows, similarity), "edges")
+    tested = edges.groupBy("u").agg(F.min(F.struct("bits", "v")).alias("m")).select("u", F.col("m.v").alias("v"))
+    tested = stored(tested, "tested")
+    good = alike(tested, texts, shingle, similarity)
     roots = stored(components(good), "roots")
 
     def labelled(df: DataFrame, node: str, label: str) -> DataFrame:
         return df.join(roots.toDF(node, "__root"), node, "left").withColumn(label, F.coalesce("__root", node)).drop("__root")
 
-    apart = stored(labelled(labelled(walked, "u", "lu"), "v", "lv").filter("lu <> lv"), "apart")
-    # Cells in which a close pair has failed: their groups may be joined by other pairs.
-    torn = apart.filter("kind = 0").select("band", "key").distinct()
-    again = band_pairs(labelled(sketch, "node", "label"), keys.join(torn, ["band", "key"], "left_semi"), cell_rows, -1, loose)
-    pairs = stored(apart.filter("kind = 1").select("u", "v").union(again.select("u", "v")).distinct().join(forest, ["u", "v"], "left_anti"), "pairs")
-    roots = stored(components(good.union(alike(pairs, texts, shingle, similarity))), "roots")
+    # Cells whose forest still joins two classes; one of two rows is done if its only pair has been tested.
+    apart = labelled(labelled(edges, "u", "lu"), "v", "lv").filter("lu <> lv")
+    apart = apart.join(tested.withColumn("done", F.lit(True)), ["u", "v"], "left").filter("done IS NULL OR n > 2")
+    torn = stored(apart.select("band", "key").distinct(), "torn")
+    asked = keys.join(torn, ["band", "key"], "left_semi").select("node").distinct()
+    sets = stored(hashed_sets(texts.join(asked, "node", "left_semi"), shingle), "sets")
+    nodes = labelled(sets.join(reps.select("node", *banded), "node"), "node", "label")
+    more = stored(links_inside(torn, nodes, keys, cell_rows, similarity), "links-inside")
+    discard(sets)
+    roots = stored(components(good.union(more)), "roots")
     classes = labelled(reps.select("node", "head"), "node", "label")
     classes = stored(classes.join(classes.groupBy("label").agg(F.min("head").alias("first")), "label").select("node", "first"), "classes")
+    for done in (edges, tested, good, more, torn, roots, reps):
+        discard(done)
     head = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("hash") == F.col("first.hash"))
     return sigs.select("doc_id", "hash", "node").distinct().join(classes, "node").select("doc_id", "hash", F.col("first.doc_id").alias("component_id"), head.alias("head"))
