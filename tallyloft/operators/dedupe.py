@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,27 +36,30 @@ def indel_ratio(a: str, b: str) -> float:
     return 200.0 * (len(a) - row.bit_count()) / (len(a) + len(b))
 
 
-def greedy(rows: list[dict], least: float = 82.0) -> list[int]:
-    """The group of each row: the first group whose first row is similar, in the given order.
+# How far apart two records of one vehicle may be.
+YEARS_APART, KM_APART, KM_SHARE = 1, 1500, 0.12
 
-    Similar: years differ by one at most, mileage by no more than 1500 or 12 % of the new row's, titles
-    by an indel ratio of ``least`` or more; what is missing does not tell apart.
+
+def first_similar(year: list, km: list, title: list, least: float = 82.0) -> list[int]:
+    """The group of each row, in the given order: the oldest group whose first row is similar, else one of its own.
+
+    Year and mileage of all groups are compared at once; titles, by an indel ratio of ``least`` or more, only where these
+    agree. What is missing tells nothing apart.
     """
-    heads: list[dict] = []
-    out = []
-    for r in rows:
-        for g, h in enumerate(heads):
-            if r["year"] and h["year"] and abs(r["year"] - h["year"]) > 1:
-                continue
-            if r["km"] and h["km"] and abs(r["km"] - h["km"]) > max(1500, 0.12 * r["km"]):
-                continue
-            if r["title"] and h["title"] and indel_ratio(r["title"].lower(), h["title"].lower()) < least:
-                continue
-            out.append(g)
-            break
-        else:
-            out.append(len(heads))
-            heads.append(r)
+    known = lambda values: np.array([np.nan if not v else float(v) for v in values])
+    years, kms, names = known(year), known(km), [t.lower() if t else None for t in title]
+    heads, out = np.zeros(len(names), np.int64), []
+    groups = 0
+    for row, name in enumerate(names):
+        of = heads[:groups]
+        # A comparison with what is missing is false, so it rules nothing out.
+        apart = (np.abs(years[of] - years[row]) > YEARS_APART) | (np.abs(kms[of] - kms[row]) > np.fmax(KM_APART, KM_SHARE * kms[row]))
+        near = (g for g in np.flatnonzero(~apart).tolist() if name is None or names[heads[g]] is None or indel_ratio(name, names[heads[g]]) >= least)
+        group = next(near, groups)
+        if group == groups:
+            heads[groups] = row
+            groups += 1
+        out.append(group)
     return out
 
 
@@ -73,12 +77,11 @@ def fuzzy(df: DataFrame, least: float = 82.0) -> DataFrame:
 
     def block(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("id").astype(object)
-        rows = pdf.where(pdf.notna(), None).to_dict("records")
-        groups = greedy(rows, least)
-        first: dict[int, int] = {}
-        for r, g in zip(rows, groups):
-            first.setdefault(g, r["id"])
-        return pd.DataFrame({"first_id": [r["id"] for r in rows], "group_id": [first[g] for g in groups]})
+        pdf = pdf.where(pdf.notna(), None)
+        groups = np.array(first_similar(pdf["year"].tolist(), pdf["km"].tolist(), pdf["title"].tolist(), least))
+        ids = pdf["id"].to_numpy(np.int64)
+        _, first = np.unique(groups, return_index=True)
+        return pd.DataFrame({"first_id": ids, "group_id": ids[first][groups]})
 
     found = firsts.groupBy("brand", "model").applyInPandas(block, "first_id long, group_id long")
     named = firsts.join(found, firsts["id"] == found["first_id"]).select(*(F.col(f).alias(f"__{f}") for f in fields), "group_id")

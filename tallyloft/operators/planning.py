@@ -43,3 +43,29 @@ def within_budget(df: DataFrame, group: list[str], order: list[Column], size: st
     """Rows of each group while their running size stays within the budget."""
     w = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn("running", F.sum(size).over(w)).filter(F.col("running") <= budget)
+
+
+def alternate(df: DataFrame, column: str, turns: tuple[str, str], order: list[str], limit: int) -> DataFrame:
+    """The first ``limit`` ``slot`` s (from 1), dealt in turn to the two values of a column; when one runs out, the other has all that follow.
+
+    Each value's rows are cut to ``limit`` by a group limit before they move, so its size does not matter.
+    """
+    rank = F.row_number().over(Window.partitionBy(column).orderBy(*order))
+    kept = df.filter(F.col(column).isin(*turns)).withColumn("__rank", rank).filter(F.col("__rank") <= limit)
+    sizes = df.agg(*(F.count_if(F.col(column) == t).alias(f"__n{i}") for i, t in enumerate(turns)))
+    both = kept.join(F.broadcast(sizes))  # one row
+    fewer = F.least("__n0", "__n1")
+    slot = F.when(F.col("__rank") <= fewer, 2 * F.col("__rank") - (F.col(column) == turns[0]).cast("int")).otherwise(fewer + F.col("__rank"))
+    return both.withColumn("slot", slot.cast("long")).filter(F.col("slot") <= limit).select(*df.columns, "slot")
+
+
+def deferred(jobs: DataFrame, blocked: Column, delay: str = "INTERVAL 1 MINUTE") -> DataFrame:
+    """Jobs (status, attempts, due); those that found their lock taken are queued again after a delay, and that attempt does not count."""
+    taken = F.coalesce(blocked, F.lit(False))
+    return jobs.withColumns(
+        {
+            "status": F.when(taken, "queued").otherwise(F.col("status")),
+            "attempts": F.when(taken, F.greatest(F.lit(0), F.col("attempts") - 1)).otherwise(F.col("attempts")),
+            "due": F.when(taken, F.col("due") + F.expr(delay)).otherwise(F.col("due")),
+        }
+    )

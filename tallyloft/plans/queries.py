@@ -427,16 +427,22 @@ def negotiation_band(spark, sf_dir):
     return out.select("listing_id", *((F.col("price_lakh") * scores.negotiation_factor(F.col("class"), low)).alias(n) for n, low in (("low", True), ("high", False))))
 
 
-DEALS = f"""{SCORED}, watches AS (SELECT c_custkey AS watch_id, 'Brand#' || CAST(11 + c_nationkey AS VARCHAR) AS make, c_acctbal AS budget, c_mktsegment FROM customer WHERE c_acctbal > 8500),
-  pairs AS (SELECT w.watch_id, s.listing_id, s.price_lakh, s.m AS fair, s.km, s.owners, w.budget, s.mfg_year, s.data_consistent, w.c_mktsegment, s.source_tier FROM watches w JOIN scored s ON s.brand = w.make),
+DEALS = f"""{SCORED}, watches AS (SELECT c_custkey AS watch_id, 'Brand#' || CAST(11 + c_nationkey AS VARCHAR) AS make, c_custkey % 3 + 2015 AS made, c_acctbal AS budget, c_mktsegment FROM customer WHERE c_acctbal > 8500),
+  pairs AS (SELECT w.watch_id, s.listing_id, s.price_lakh, s.m AS fair, s.km, s.owners, w.budget, s.mfg_year, s.data_consistent, w.c_mktsegment, s.source_tier FROM watches w JOIN scored s ON s.brand = w.make AND s.mfg_year = w.made),
   risky AS (SELECT *, concat_ws('|', CASE WHEN (price_lakh <= budget / 5) IS NOT TRUE THEN 'price exceeds budget' END, CASE WHEN (km <= 30000) IS NOT TRUE THEN 'mileage exceeds limit' END, CASE WHEN (nullif(owners, 4) <= 5) IS NOT TRUE THEN 'owners not verified' END) AS risks FROM pairs),
   judged AS (SELECT *, risks = '' AS eligible, CASE WHEN risks = '' AND fair > price_lakh THEN least(100.0, 100 * (fair - price_lakh) / fair * 4) ELSE 0.0 END AS deal FROM risky),
   rated AS (SELECT *, CASE WHEN eligible THEN round(least(100.0, 0.55 * 85 + 0.45 * deal), 1) ELSE 0.0 END AS match_score, CASE source_tier WHEN 1 THEN CAST(1.0 AS DOUBLE) WHEN 2 THEN CAST(0.85 AS DOUBLE) ELSE CAST(0.8 AS DOUBLE) END AS confidence FROM judged)"""
 
 
-def _deals(spark, sf_dir):
-    watches = table(spark, sf_dir, "customer").filter("c_acctbal > 8500").select(F.col("c_custkey").alias("watch_id"), F.concat(F.lit("Brand#"), (F.col("c_nationkey") + 11).cast("string")).alias("brand"), F.col("c_acctbal").alias("budget"), "c_mktsegment")
-    pairs = _scored(spark, sf_dir).join(watches, "brand")
+def _deals(spark, sf_dir, eligible_only=False):
+    """Watches of a brand and year of make with the offers of both. With ``eligible_only``, what fails a rule on the offer alone never reaches the join, and the budget is part of its condition."""
+    watches = table(spark, sf_dir, "customer").filter("c_acctbal > 8500").select(F.col("c_custkey").alias("watch_id"), F.concat(F.lit("Brand#"), (F.col("c_nationkey") + 11).cast("string")).alias("brand"), (F.col("c_custkey") % 3 + 2015).cast("int").alias("mfg_year"), F.col("c_acctbal").alias("budget"), "c_mktsegment")
+    pool = _scored(spark, sf_dir)
+    if eligible_only:
+        pool = pool.filter((F.col("km") <= 30000) & (F.nullif("owners", F.lit(4)) <= 5))
+    pairs = pool.join(watches, ["brand", "mfg_year"])
+    if eligible_only:
+        pairs = pairs.filter(F.col("price_lakh") <= F.col("budget") / 5)
     rules = {"price exceeds budget": F.col("price_lakh") <= F.col("budget") / 5, "mileage exceeds limit": F.col("km") <= 30000, "owners not verified": F.nullif("owners", F.lit(4)) <= 5}
     return deals.evaluated(pairs, rules, F.col("price_lakh"), F.col("m"), F.lit(85.0), F.when(F.col("source_tier") == 1, 1.0).when(F.col("source_tier") == 2, 0.4).otherwise(0.2), F.lit(True), F.lit(True))
 
@@ -447,13 +453,13 @@ def deal_match(spark, sf_dir):
     return _deals(spark, sf_dir).select("watch_id", "listing_id", F.array_join("risks", "|").alias("risks"), "eligible", "deal_score", "match_score", "confidence", "priority")
 
 
-@query("alert_outbox_anti", f"""WITH {DEALS}, alerts AS (SELECT watch_id, listing_id, sha256(CAST(CAST(round(price_lakh * 100) AS BIGINT) AS VARCHAR) || '|used') AS event FROM rated
+@query("alert_outbox_anti", f"""WITH {DEALS}, alerts AS MATERIALIZED (SELECT DISTINCT watch_id, listing_id, sha256(CAST(CAST(round(price_lakh * 100) AS BIGINT) AS VARCHAR) || '|used') AS event FROM rated
     WHERE eligible AND match_score >= CASE WHEN c_mktsegment = 'BUILDING' THEN 75.0 ELSE 82.0 END AND confidence >= 0.6)
-  SELECT a.* FROM alerts a WHERE NOT EXISTS (SELECT 1 FROM alerts s WHERE s.watch_id = a.watch_id AND s.listing_id = a.listing_id AND s.event = a.event AND s.listing_id % 3 = 0)""")
+  SELECT a.* FROM alerts a LEFT JOIN (SELECT DISTINCT watch_id, listing_id, event FROM alerts WHERE listing_id % 3 = 0) s USING (watch_id, listing_id, event) WHERE s.watch_id IS NULL""")
 def alert_outbox_anti(spark, sf_dir):
     quality = F.when(F.col("c_mktsegment") == "BUILDING", "good").otherwise("exceptional")
     event = identity.event_hash(F.round(F.col("price_lakh") * 100).cast("long"), F.lit("used"))
-    found = deals.alerts(_deals(spark, sf_dir), quality).select("watch_id", "listing_id", event.alias("event"))
+    found = deals.alerts(_deals(spark, sf_dir, eligible_only=True), quality).select("watch_id", "listing_id", event.alias("event"))
     sent = found.filter("listing_id % 3 = 0").withColumn("status", F.lit("sent"))
     return folding.outbox(found, sent, ["watch_id", "listing_id", "event"])
 
@@ -606,10 +612,26 @@ def html_tombstone(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.sold(F.col("html")).alias("gone"))
 
 
-@query("html_listings")
+@query("html_listings", """SELECT p_partkey AS page_id, CASE p_partkey % 3 WHEN 0 THEN 'json_ld' WHEN 1 THEN 'embedded' ELSE 'visible' END AS method,
+    CASE WHEN p_partkey % 3 = 2 THEN 'Car 2021 ' || p_name || ' Rs. ' || CAST(1000 + p_partkey AS VARCHAR) || ' ' || CAST(10000 + p_size AS VARCHAR) || ' km' ELSE p_name END AS name,
+    CASE WHEN p_partkey % 3 < 2 THEN p_brand END AS brand, CAST(1000 + p_partkey AS DOUBLE) AS price, 10000 + p_size AS km, CAST(CASE WHEN p_partkey % 3 = 2 THEN 2021 ELSE 2015 + p_size % 10 END AS INTEGER) AS year,
+    'https://dealer.example/cars/' || CAST(p_partkey AS VARCHAR) AS url, CAST(CASE WHEN p_partkey % 3 = 0 THEN 2 ELSE 0 END AS INTEGER) AS image_count, p_partkey % 3 = 1 AND p_size % 2 = 0 AS sold FROM part""")
 def html_listings(spark, sf_dir):
-    """Listings that pages state as JSON-LD, embedded JSON, or by their visible text, whichever comes first."""
-    return extract.listings(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    """Listings that pages state as JSON-LD, embedded JSON, or by their visible text, whichever comes first; the pages are made from the parts."""
+    key, size = F.col("p_partkey").cast("string"), F.col("p_size")
+    price, km, year = (F.col("p_partkey") + 1000).cast("string"), (size + 10000).cast("string"), (size % 10 + 2015).cast("string")
+    ld = F.concat(
+        F.lit('<script type="application/ld+json">{"@context": "https://schema.org", "@graph": [{"@type": ["Car"], "name": "'), "p_name", F.lit('", "brand": {"name": "'), "p_brand", F.lit('"}, "vehicleModelDate": "'), year,
+        F.lit('", "mileageFromOdometer": {"value": "'), km, F.lit('"}, "image": ["/a.jpg", "/b.jpg", "/a.jpg", "data:x"], "offers": [{"price": '), price, F.lit(', "priceCurrency": "INR", "url": "/cars/'), key, F.lit('"}]}]}</script>'),
+    )
+    state = F.concat(
+        F.lit('<script type="application/json">{"props": [{"stock": {"Title": "'), "p_name", F.lit('", "make": "'), "p_brand", F.lit('", "sellingPrice": "'), price, F.lit('", "km": '), km, F.lit(', "year": '), year,
+        F.lit(', "url": "/cars/'), key, F.lit('", "status": "'), F.when(size % 2 == 0, "Booked").otherwise("Live"), F.lit('"}}]}</script>'),
+    )
+    shown = F.concat(F.lit("<ul><li><a href='/cars/"), key, F.lit("'>Car 2021 "), "p_name", F.lit(" <b>Rs. "), price, F.lit("</b> "), km, F.lit(" km</a></ul>"))
+    body = F.when(F.col("p_partkey") % 3 == 0, F.concat(ld, shown)).when(F.col("p_partkey") % 3 == 1, F.concat(state, shown)).otherwise(F.concat(F.lit('<script type="application/ld+json">{broken</script>'), shown))
+    pages = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("page_id"), F.lit("https://dealer.example/stock?page=1").alias("url"), F.concat(F.lit("<html><body>"), body, F.lit("</body></html>")).alias("html"))
+    return extract.listings(pages).select("page_id", "method", "name", "brand", "price", "km", "year", "url", "image_count", "sold")
 
 
 @query("text_dedupe_exact", """WITH k AS (SELECT doc_id, lower(trim(regexp_replace(text, '[ \\t\\n\\r\\f]+', ' ', 'g'))) AS t FROM documents)

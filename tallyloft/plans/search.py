@@ -20,6 +20,7 @@ class Intent:
     """What a buyer asks for. ``brand``, ``phrase`` and ``condition`` define the market; the rest only refines."""
 
     brand: str | None = None
+    brand_aliases: tuple[str, ...] = ()  # other names the market may carry the brand under
     phrase: str | None = None
     condition: str | None = None
     budget_min: float | None = None
@@ -30,6 +31,9 @@ class Intent:
     max_owners: int | None = None
     city: str | None = None
     sources: tuple[str, ...] = ()
+    fuels: tuple[str, ...] = ()
+    transmissions: tuple[str, ...] = ()  # classes: automatic, manual
+    bodies: tuple[str, ...] = ()
     sort: str = "price"
     limit: int = 50
     offset: int = 0
@@ -49,7 +53,8 @@ class Intent:
         """Predicates of the cohort: whatever is not asked for is left out of the plan."""
         rules = {"active": F.col("active"), "priced": F.col("price_lakh") > 0}
         if self.brand:
-            rules["brand"] = F.lower("brand") == self.brand.lower()
+            names = dict.fromkeys(b.strip().lower() for b in (self.brand, *self.brand_aliases))
+            rules["brand"] = F.lower(F.trim("brand")).isin(*names)
         if self.phrase:
             rules["phrase"] = text.has_phrase(F.col("model"), self.phrase) | text.has_phrase(F.col("variant"), self.phrase) | text.has_phrase(F.col("title"), self.phrase)
         if self.condition in ("used", "demo", "new"):
@@ -77,6 +82,12 @@ class Intent:
             rules["city"] = F.lower(F.trim("location")) == self.city.strip().lower()
         if self.sources:
             rules["sources"] = F.col("source").isin(*self.sources)
+        if self.fuels:
+            rules["fuels"] = F.lower("fuel").isin(*(x.lower() for x in self.fuels))
+        if self.transmissions:
+            rules["transmissions"] = text.transmission_class(F.col("transmission")).isin(*(x.lower() for x in self.transmissions))
+        if self.bodies:
+            rules["bodies"] = F.lower("body_type").isin(*(x.lower() for x in self.bodies))
         return rules
 
 

@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloft.functions import identity, scores, text, timing, url
+from tallyloft.functions import discovery, identity, scores, text, timing, url
 from tallyloft.operators import coverage, deals, dedupe, eligibility, extract, folding, ledger, planning
 from tallyloft.operators import offers as O
 from tallyloft.operators.latest import change, failure_streaks, latest, latest_as_of
@@ -123,6 +123,10 @@ def test_extraction_from_a_title(spark):
     assert value(spark, extract.price_lakh(F.col("x")), given="EMI ₹3 lakh down payment and more words here so that it is far away. Asking price ₹21.5 lakh") == 21.5
     assert value(spark, text.owners(F.col("x")), given="No. of owners: second") == 2
     assert value(spark, text.mileage(F.col("x")), given="odometer 120 km") is None
+    given = {"Rs 45": 45.0, "10% of ₹3,50,000": 3.5, "₹21,50,000 and ₹24,00,000 offer price": 24.0, "₹39 lakh reservation": None, "Price 12.5 lakh": 12.5, "₹1 lakh": None, None: None, "no amount": None, "₹999": None}
+    assert {t: value(spark, extract.price_lakh(F.col("x")), given=t) for t in given} == given
+    assert [value(spark, text.owners(F.col("x")), given=t) for t in ("third owner", "owner: 2", "ownership serial 12", "2nd owner, first owner", "no owner", None)] == [3, 2, 12, 2, None, None]
+    assert [value(spark, text.mileage(F.col("x")), given=t) for t in ("5 km away, run 45,000 kms", "Mileage (ARAI): 62000", "odometer reading of the car which is 62000", "1,23,456 km")] == [45000, 62000, None, 23456]
 
 
 @pytest.mark.parametrize("vin,ok", [("WBA8E9C50GK646795", True), ("WBA8E9C50GK64679O", False), ("11111111111111111", False), ("WBAXXXXC50GK64679", False), (None, False), ("", False)])
@@ -235,6 +239,25 @@ def test_indel_ratio_and_greedy_groups(spark):
     assert got == {1: 1, 2: 1, 3: 3, 4: 4, 5: 5, 6: 1, 7: 1}
 
 
+def test_groups_against_one_pair_after_the_other():
+    rng = random.Random(6)
+    n = 300
+    year, km = [rng.choice([None, 2019, 2020, 2021]) for _ in range(n)], [rng.choice([None, 0, *range(9000, 14000, 500)]) for _ in range(n)]
+    title = [rng.choice([None, "", "".join(rng.choice("ab") for _ in range(7))]) for _ in range(n)]
+
+    def alike(new, old):
+        years = year[new] and year[old] and abs(year[new] - year[old]) > 1
+        far = km[new] and km[old] and abs(km[new] - km[old]) > max(1500, 0.12 * km[new])
+        return not years and not far and not (title[new] and title[old] and dedupe.indel_ratio(title[new], title[old]) < 82)
+
+    heads, want = [], []
+    for i in range(n):
+        mine = [g for g, h in enumerate(heads) if alike(i, h)]
+        want.append(mine[0] if mine else len(heads))
+        heads += [] if mine else [i]
+    assert dedupe.first_similar(year, km, title) == want
+
+
 def test_exact_duplicates(spark):
     df = spark.createDataFrame([(1, "A  b"), (2, " a b\n"), (3, None), (4, None), (5, "")], "id long, t string")
     assert {r["id"]: (r["representative"], r["copies"]) for r in dedupe.exact(df, "t", "id").collect()} == {1: (1, 2), 2: (1, 2), 3: (3, 1), 4: (4, 1), 5: (5, 1)}
@@ -292,8 +315,41 @@ def test_brands_months_families_and_slugs(spark):
     assert [get(text.labelled_month(F.col("x"), "mfg"), t) for t in ("Mfg: March 2021", "mfg 2020 Sept", "mfg - 2019", "reg 2019")] == ["2021-03", "2020-09", "2019", None]
     assert get(text.model_family(F.lit("BMW"), F.col("x")), "320d M Sport") == "3 Series" and get(text.model_family(F.lit("Mercedes-Benz"), F.col("x")), "e220") == "E-Class" and get(text.model_family(F.lit("BMW"), F.col("x")), "X5") == "X5"
     assert get(text.slug(F.col("x")), " Citroën & Co. ") == "citroen-and-co"
+    assert [get(text.slug(F.col("x")), t) for t in ("Škoda Kodiaq", "Sˇkoda", "S\u030ckoda", "ž ł ő ½ ﬁ", "M&M", "ﷺ", "Ⅳ ㎞", "")] == ["skoda-kodiaq", "skoda", "skoda", "z-o-12-fi", "mandm", "", "iv-km", ""]
+    assert get(text.has_phrase(F.col("x"), "Škoda"), "the skoda") is True and get(text.has_phrase(F.col("x"), "skoda"), "Škoda Kodiaq") is True
+    assert get(text.known_model(F.col("x")), "BMW X1 and x5") == "X1" and get(text.known_model(F.col("x")), "x50") is None and get(text.variant_of(F.col("x")), "GLA AMG Line 4MATIC") == "AMG Line"
 
 
 def test_urls_join_and_state(spark):
     assert value(spark, text.condition_of(F.col("x")), given="Demo car, used") == "demo" and value(spark, text.sold(F.col("x"))) is False
     assert value(spark, text.has_personal_data(F.col("x")), given="call +91 98765 43210") is True
+
+
+def test_discovery_classes_names_and_queries(spark):
+    get = lambda c, given: value(spark, c, given=given)
+    x = F.col("x")
+    assert tuple(get(discovery.source_class(x, F.lit("buy BMW"), F.lit("https://a.b/demo-cars"), F.lit("BMW")), "Approved used dealer")) == ("oem_certified", "demo", 1.0)
+    assert tuple(get(discovery.source_class(x, F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit("")), None)) == ("unknown", "both", 0.45)
+    page = lambda u: discovery.is_landing_page(F.lit("Used cars"), F.lit(""), x) if u else None
+    assert [get(page(u), u) for u in ("https://a.b/stock", "ftp://a.b/stock", "https://a.b/listing/7")] == [True, False, True]
+    assert get(discovery.is_landing_page(F.lit("BMW X5 demo cars"), F.lit(""), x), "https://a.b/listing/7") is False
+    names = {"BMW X5 ₹ 95 Lakh*": "X5", "X5 *": "X5", "BMW": "BMW", "Mercedes Benz GLC": "Mercedes Benz GLC", "X7 upcoming": None, " ": None, None: None}
+    assert {t: get(discovery.catalogue_name(x, F.lit("BMW")), t) for t in names} == names
+    assert get(discovery.catalogue_name(x, F.lit("Mercedes-Benz")), "mercedes benz GLC") == "GLC"
+    assert tuple(get(discovery.split_query(x, ("BMW", "MG", "MG Motor")), "mg motor  Hector")) == ("MG Motor", "hector")
+    assert tuple(get(discovery.split_query(x, ("BMW",)), "bmw BMW x5")) == ("BMW", "x5") and tuple(get(discovery.split_query(x, ("BMW",)), None)) == (None, None)
+    assert get(discovery.safe_token(x), "a b/ü") == "a_b__" and get(discovery.safe_token(x), None) == "unknown" and get(discovery.safe_path(x), "https://u:p@h/a b?q#f") == "/a_b"
+    assert [get(discovery.contact_kind(x), t) for t in ("a@b.c", "+919876543210", "98765", None)] == ["email", "phone", None, None]
+    assert get(discovery.field_sentence("Fuel", x), "Unspecified") is None and get(discovery.segment(x), "Audi") == "luxury"
+
+
+def test_images_slots_and_deferred_jobs(spark):
+    html = "<meta content='//c.d/og.png' property='og:image'><IMG SRC='a.jpg' alt='Car'><img src='a.jpg'><img src='/b' width='90'><img alt='nothing'>"
+    assert value(spark, extract.images(F.col("x"), F.lit("https://a.b/c/d?e")), given=html) == ["https://c.d/og.png", "https://a.b/c/a.jpg"]
+    assert value(spark, extract.images(F.col("x"), F.lit("https://a.b/")), given="") == [] and value(spark, extract.images(F.col("x"), F.lit("https://a.b/")), given=None) is None
+    df = spark.createDataFrame([(i, "demo" if i < 3 else "used") for i in range(10)] + [(99, None)], "id int, kind string")
+    got = {r["slot"]: r["id"] for r in planning.alternate(df, "kind", ("demo", "used"), ["id"], 8).collect()}
+    assert got == {1: 0, 2: 3, 3: 1, 4: 4, 5: 2, 6: 5, 7: 6, 8: 7}
+    assert planning.alternate(df.limit(0), "kind", ("demo", "used"), ["id"], 8).count() == 0
+    jobs = spark.sql("SELECT 'done' AS status, 1 AS attempts, TIMESTAMP '2024-01-01 00:00:00' AS due, true AS busy UNION ALL SELECT 'done', 0, TIMESTAMP '2024-01-01 00:00:00', null")
+    assert [(r["status"], r["attempts"], r["due"].minute) for r in planning.deferred(jobs, F.col("busy")).collect()] == [("queued", 0, 1), ("done", 0, 0)]
