@@ -5,7 +5,7 @@ of weight w may run from slot floor((j - 1) / w) and must have run before slot c
 given to the released block with the earliest deadline, so that after any number of slots a source has
 had within one block of its share. Weights are exact ratios, never rounded, and the schedule covers the whole
 horizon. It is a fold whose state is one number a source, a step for each block, done on the driver and
-written to the shared folder as it goes; rows are joined with it by source and block.
+written to the shared folder as it goes, by SQL over literals; rows are joined with it by source and block.
 
 Nothing is dropped. A source with too few blocks starts over ("epoch"), until every source has been used
 up at least once; or, without repeats, its slots stay empty once it is used up.
@@ -17,39 +17,20 @@ that no task holds a whole source.
 from __future__ import annotations
 
 import heapq
+import json
 import math
-import uuid
 from collections.abc import Iterator
 from fractions import Fraction
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
-from tallyloft.llm.common import scratch_dir, stored
+from tallyloft.llm.common import scratch_path, stored
 
-SLOTS = 1000
-MOST_SOURCES = 1000
+MOST_SOURCES = 100_000  # what is broadcast has a row for each
 BUCKET_ROWS = 1024
-CHUNK = 1 << 20  # slots written at a time
-
-
-def shares(weights: dict[str | None, float], slots: int = SLOTS) -> dict[str | None, int]:
-    """Weights as whole parts of ``slots`` (largest remainder), one part at least for each positive weight; ``mix`` keeps weights exact instead."""
-    weights = {s: w for s, w in weights.items() if w > 0}
-    if len(weights) > min(slots, MOST_SOURCES):
-        raise ValueError("more sources than slots")
-    total = sum(weights.values())
-    exact = {s: w * slots / total for s, w in weights.items()}
-    part = {s: max(1, math.floor(x)) for s, x in exact.items()}
-    by_rest = sorted(part, key=lambda s: (part[s] - exact[s], s is None, str(s)))
-    i = 0
-    while sum(part.values()) < slots:
-        part[by_rest[i % len(by_rest)]] += 1
-        i += 1
-    while sum(part.values()) > slots:
-        part[max(part, key=lambda s: (part[s] - exact[s], part[s]))] -= 1
-    return part
+CHUNK = 1 << 16  # slots written at a time
 
 
 def tempered(counts: dict[str | None, int], power: float) -> dict[str | None, float]:
@@ -102,20 +83,25 @@ def turns(part: dict[str | None, int], slots: int, blocks: dict[str | None, int]
         slot += 1
 
 
+def literal(spark, rows: list[dict], kind: str) -> DataFrame:
+    """Rows as a table, from a JSON literal."""
+    return spark.range(1, numPartitions=1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{kind}>>")))
+
+
 def written(spark, runs: Iterator[tuple[int, int, int]], many: int) -> tuple[DataFrame, list[int]]:
     """``runs`` as a stored table of ``i``, ``turn`` and ``slot``, and how many turns each of ``many`` sources has."""
-    path, ran, held = f"{scratch_dir(spark)}/slots-{uuid.uuid4().hex}", [0] * many, []
+    path, ran, held = scratch_path(spark, "slots"), [0] * many, {}
 
     def write() -> None:
-        columns = zip(*held) if held else ([], [], [])
-        table = pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64()))], ["i", "turn", "slot"])
-        spark.createDataFrame(table).write.mode("append").parquet(path)
+        rows = [{"i": i, "first": ran[i] - len(slots), "slots": slots} for i, slots in held.items()]
+        table = literal(spark, rows, "i:int,first:bigint,slots:array<bigint>").select("i", "first", F.posexplode("slots").alias("nth", "slot"))
+        table.select("i", (F.col("first") + F.col("nth")).alias("turn"), "slot").write.mode("append").parquet(path)
         held.clear()
 
-    for run in runs:
-        held.append(run)
-        ran[run[0]] += 1
-        if len(held) == CHUNK:
+    for at, (i, _, slot) in enumerate(runs, 1):  # a source's turns come in order
+        held.setdefault(i, []).append(slot)
+        ran[i] += 1
+        if at % CHUNK == 0:
             write()
     write()
     return spark.read.schema("i int, turn long, slot long").parquet(path), ran
@@ -137,7 +123,7 @@ def placed(df: DataFrame, group: str, size: Column, order: tuple[Column, ...], r
     """
     h = F.xxhash64(*order, F.lit(11))
     many = F.ceil(F.col("__rows") / BUCKET_ROWS)
-    cut = df.join(F.broadcast(rows), df[group].eqNullSafe(F.col("__g"))).select(*df.columns, h.alias("__h"), size.cast("long").alias("__size"), F.pmod(h, many).cast("int").alias("__bucket"))
+    cut = df.join(F.broadcast(rows), df[group].cast(rows.schema["__g"].dataType).eqNullSafe(F.col("__g"))).select(*df.columns, h.alias("__h"), size.cast("long").alias("__size"), F.pmod(h, many).cast("int").alias("__bucket"))
     sums = cut.groupBy(group, "__bucket").agg(F.sum("__size").alias("__sum"))
     before = F.sum("__sum").over(Window.partitionBy(group).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1))
     sums = stored(sums.select(F.col(group).alias("__g"), F.col("__bucket").alias("__b"), F.coalesce(before, F.lit(0)).alias("__before")), "bucket-sums")
@@ -165,7 +151,8 @@ def mix(
     source if it has none, are not part of the mixture. With ``repeat``, rows of sources that run out early
     come again in later epochs, as far as the slots go that the longest-lasting source needs; without, every row comes once.
 
-    Null sizes count as zero. Repeated rows are rows of their own. An empty table gives an empty result.
+    Null sizes count as zero. Repeated rows are rows of their own; rows of one doc_id stand in the order of their size and
+    of a hash of the row. An empty table gives an empty result.
     Columns of ``df`` named slot, epoch or place are replaced. At most MOST_SOURCES sources are allowed.
     """
     spark = df.sparkSession
@@ -173,7 +160,7 @@ def mix(
     weight = F.coalesce(size, F.lit(0)) if size is not None else F.lit(1)
     df = df.withColumn("__mix_weight", weight.cast("long"))
     weight = F.col("__mix_weight")
-    stats = df.groupBy(F.col(source).alias("s")).agg(F.sum(weight).cast("long").alias("total"), F.count("*").alias("rows")).limit(MOST_SOURCES + 1).collect()
+    stats = df.groupBy(F.col(source).cast("string").alias("s")).agg(F.sum(weight).cast("long").alias("total"), F.count("*").alias("rows")).limit(MOST_SOURCES + 1).collect()
     if len(stats) > MOST_SOURCES:
         raise ValueError(f"over {MOST_SOURCES} sources")
     totals = {r["s"]: max(1, r["total"]) for r in stats}
@@ -188,11 +175,11 @@ def mix(
     slots, ran = written(spark, turns(part, horizon, blocks, repeat), len(names))
     slots = slots.toDF("__j", "__t", "slot")
     most = [max(0, ran[i] - 1) // blocks[s] for i, s in enumerate(names)]
-    one = [F.struct(F.lit(s).cast("string").alias("__s"), F.lit(i).alias("__i"), F.lit(blocks[s]).cast("long").alias("__blocks"), F.lit(most[i]).cast("long").alias("__most")) for i, s in enumerate(names)]
-    plan = spark.range(1, numPartitions=1).select(F.inline(F.array(*one)))
-    each = [F.struct(F.lit(r["s"]).cast("string").alias("__g"), F.lit(r["rows"]).cast("long").alias("__rows")) for r in stats]
-    counted = spark.range(1, numPartitions=1).select(F.inline(F.array(*each)))
-    rows = placed(df, source, weight, tuple(F.col(t) for t in ties), counted)
+    plan = literal(spark, [{"__s": s, "__i": i, "__blocks": blocks[s], "__most": most[i]} for i, s in enumerate(names)], "__s:string,__i:int,__blocks:bigint,__most:bigint")
+    counted = literal(spark, [{"__g": r["s"], "__rows": r["rows"]} for r in stats], "__g:string,__rows:bigint")
+    # Rows that tie in all else stand in the order of a hash of the whole row: only equal rows change places.
+    hashed = [F.col(f"`{f.name}`") for f in df.schema.fields if not isinstance(f.dataType, (MapType, VariantType))]
+    rows = placed(df, source, weight, (*(F.col(t) for t in ties), weight, F.xxhash64(*hashed)), counted)
     # At most MOST_SOURCES rows.
     rows = rows.join(F.broadcast(plan), F.col(source).cast("string").eqNullSafe(F.col("__s")))
     rows = rows.withColumn("epoch", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__most"))))

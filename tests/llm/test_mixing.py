@@ -18,17 +18,18 @@ def edf(part):
     return out
 
 
-@pytest.mark.parametrize("weights", [{"a": 1.0}, {"a": 0.5, "b": 0.3, "c": 0.2}, {f"s{i:02}": 1.0 for i in range(19)} | {"hot": 12.0}, {"a": 0.9, **{f"z{i}": 0.01 for i in range(10)}}])
-def test_schedule_is_edf_and_pfair(spark, weights):
-    part = M.shares(weights)
-    assert sum(part.values()) == M.SLOTS
+@pytest.mark.parametrize("part", [{"a": 1}, {"a": 500, "b": 300, "c": 200}, {f"s{i:02}": 32 for i in range(19)} | {"hot": 391}, {"a": 900, **{f"z{i}": 10 for i in range(10)}}])
+def test_schedule_is_edf_and_pfair(spark, monkeypatch, part):
+    monkeypatch.setattr(M, "CHUNK", 300)
+    total = sum(part.values())
     rows = M.schedule(spark, part).orderBy("slot").collect()
     got = [r["source"] for r in rows]
     assert got == edf(part)
     ran = Counter()
-    for t, s in enumerate(got, 1):
-        ran[s] += 1
-        assert all(abs(ran[x] - t * part[x] / M.SLOTS) < 1 for x in part)
+    for t, r in enumerate(rows, 1):
+        assert r["turn"] == ran[r["source"]]
+        ran[r["source"]] += 1
+        assert all(abs(ran[x] - t * part[x] / total) < 1 for x in part)
 
 
 def frame(spark, sizes):
@@ -71,7 +72,7 @@ def test_nulls_repeats_clashes_and_empty_tables(spark):
     assert M.mix(df, {"x": 1.0}).count() == 0
     assert M.mix(df, {"a": 1.0}, size=df["n"], block=4).filter("epoch = 0").count() == 3
     with pytest.raises(ValueError):
-        M.shares({i: 1.0 for i in range(1001)})
+        M.whole({i: 1.0 for i in range(M.MOST_SOURCES + 1)})
 
 
 def test_no_python_in_the_plan(spark):
@@ -106,3 +107,15 @@ def test_a_small_source_is_repeated_by_its_target_only(spark):
     out = M.mix(frame(spark, {"hot": 20_000, "small": 2}), power=0.5, block=1).filter("epoch = 0 OR source = 'small'")
     got = Counter(r["source"] for r in out.select("source").collect())
     assert got["hot"] == 20_000 and got["small"] in (200, 201)
+
+
+def test_rows_of_one_id_have_a_defined_order(spark):
+    rows = [(1, "a", n, f"text {k}") for k, n in enumerate([3, 3, 3, 2, 2, 9])] + [(None, "b", 1, "x"), (None, "b", 1, "y")]
+    df = spark.createDataFrame(rows, "doc_id long, source string, n_chars long, text string")
+    runs = [sorted(map(repr, M.mix(df.repartition(k), block=2).collect())) for k in (1, 3, 5)]
+    assert runs[0] == runs[1] == runs[2] and len(runs[0]) >= len(rows)
+
+
+def test_the_schedule_is_native(spark):
+    plan = M.mix(frame(spark, {"a": 30, "b": 4}))._jdf.queryExecution().toString()
+    assert not any(w in plan for w in ("Python", "Pandas", "Arrow", "CartesianProduct"))
