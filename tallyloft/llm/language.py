@@ -23,7 +23,7 @@ from tallyloft.llm.common import uniform
 from tallyloft.llm.grams import buckets, chunks, inside, letter_table, stream
 
 ORDERS = (1, 2, 3)
-MOST_LANGUAGES = 512
+MOST_LANGUAGES = 10_000  # more than there are; a centroid matrix of that many still fits a task
 ROWS = 64  # texts in a dense block
 
 
@@ -99,7 +99,7 @@ def fit(docs: DataFrame, learn: Column | None = None, per_language: int = 256, c
     language, of which MOST_LANGUAGES are allowed.
     """
     rows = docs.filter(learn) if learn is not None else docs
-    rows = rows.select("doc_id", "text", "lang").filter("lang IS NOT NULL AND text IS NOT NULL")
+    rows = rows.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "lang").filter("lang IS NOT NULL AND text IS NOT NULL")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(MOST_LANGUAGES + 1).collect()}
     if len(sizes) > MOST_LANGUAGES:
         raise ValueError(f"over {MOST_LANGUAGES} languages")
@@ -134,7 +134,7 @@ def fit(docs: DataFrame, learn: Column | None = None, per_language: int = 256, c
         draw = draw | ((F.col("lang") == lang) & (uniform("doc_id", seed=seed) < min(1.0, per_language / n)))
     names, cs, near = [], [], []
     if sizes:
-        sample = rows.filter(draw).mapInPandas(sparse, "doc_id long, lang string, at array<long>, n array<long>").toPandas()
+        sample = rows.filter(draw).mapInPandas(sparse, "doc_id string, lang string, at array<long>, n array<long>").toPandas()
         sample["first"] = [tuple(a[:4]) for a in sample["at"]]
         sample = sample.sort_values(["lang", "doc_id", "first"], kind="stable")
         for lang, mine in sample.groupby("lang"):
