@@ -1,125 +1,201 @@
 """Quality of documents by the perplexity of an interpolated modified Kneser-Ney model.
 
-The model is of characters in 64 classes, of order 4, trained on all trusted documents. Counts are
-sharded by n-gram and context: joins between them give continuation counts, discounts, back-off weights
-and interpolated probabilities. There are at most 64 ** 4 n-grams, so the finished table has a proven
-bound of 16.8 million rows however large the corpus is, and goes to the tasks that score documents; the
-counts behind it come from every trusted text and grow with the corpus until that bound.
-
-A document is kept if its perplexity, drawn toward its language's mean as if by ``prior`` more characters,
-is within a quantile of the trusted documents of its language, plus a ``margin`` in nats a character. A language with fewer than ``enough``
-trusted documents takes the quantile of all of them.
+The model is of characters over the whole alphabet, of order 4, trained on all trusted documents. Counts are sharded
+by n-gram and context: joins between them give continuation counts, discounts, back-off weights and interpolated
+probabilities. The tables grow with the corpus and never leave the cluster's shared folder. Documents are scored in
+blocks of file splits: a block's different n-grams, pre-aggregated, are joined with the tables, and the answers are
+written to the shared folder by block, where the task that scores a document of the block reads them. No text is
+shuffled, no table is broadcast or gathered on the driver, and what a task holds is bounded by its block.
+
+Three quarters of the trusted documents teach the model; the last quarter, which it has not read, sets the limits. A
+document is kept if its surprise a character, drawn toward its language's mean as if by ``prior`` more characters (a
+short text says little), is within a quantile of that quarter in its language, plus a ``margin`` in nats a character. A
+language with fewer than ``enough`` such documents takes the quantile of all of them.
 """
 
 from __future__ import annotations
 
-import string
+import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.dataset
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloft.llm.common import code_points, stored
+from tallyloft.llm.common import code_points, discard, scratch_path, stored
 from tallyloft.llm.grams import chunks
 
-BITS, ORDER = 6, 4
+ORDER, UNIT = 4, 16  # characters of an n-gram, bits of a character
+ALPHABET = 1 << UNIT  # characters beyond the basic plane are one
 BIN = 1e-3  # width, in nats, of the histogram that quantiles are read from
-MOST_LANGUAGES = 512
-
-
-def classes() -> np.ndarray:
-    """The class, 0 to 63, of each code point: 0 white space, 1-26 a-z, 27-34 other letters, 35 capitals, 36 digits, 37-62 ASCII marks, 63 all else."""
-    out = np.full(0x110000, 63, np.uint8)
-    for i in range(0x110000):
-        c = chr(i)
-        if c.isalpha():
-            out[i] = 35 if c.isupper() else 27 + i % 8
-        elif c.isdigit():
-            out[i] = 36
-        elif c.isspace():
-            out[i] = 0
-    for k, c in enumerate(string.ascii_lowercase):
-        out[ord(c)] = 1 + k
-    marks = [c for c in string.punctuation if c not in "()[]{}<>"]
-    for k, c in enumerate(marks):
-        out[ord(c)] = 37 + k
-    for c in "([{<":
-        out[ord(c)] = 37 + len(marks)
-    for c in ")]}>":
-        out[ord(c)] = 38 + len(marks)
-    return out
-
-
-def grams(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of the 4-grams that end at each character, texts in a row, each after white space; and where each text starts."""
-    pad = " " * (ORDER - 1)
-    codes = table[code_points(pad + pad.join(texts))].astype(np.uint32)
-    size = len(codes) - ORDER + 1
-    ids = np.zeros(max(0, size), np.uint32)
-    for k in range(ORDER):
-        ids = (ids << np.uint32(BITS)) | codes[k : k + size] if size > 0 else ids
+BLOCK_ROWS = 8192  # documents of a block, about
+CHARS, PAIRS = 1 << 10, 1 << 12  # characters and pairs of them that a task maps directly
+
+
+def units(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Characters of all texts in a row, three zeros before each and after the last; and where each text starts."""
+    pad = "\0" * (ORDER - 1)
+    codes = np.minimum(code_points(pad + pad.join(texts) + pad), ALPHABET - 1).astype(np.uint16)
     lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-    return ids, np.concatenate(([0], np.cumsum(lengths + ORDER - 1)[:-1]))
+    return codes, np.concatenate(([0], np.cumsum(lengths + ORDER - 1)[:-1]))
 
 
-@dataclass
-class KneserNey:
-    """``base``: log-probabilities of all 4-grams as backed off from 3-grams, by context weight and 3-gram; ``seen``, ``logp``: of those seen."""
-
-    seen: np.ndarray
-    logp: np.ndarray
-    weight: np.ndarray
-    lower: np.ndarray
-
-    def dense(self) -> np.ndarray:
-        lower = np.log(self.lower).astype(np.float32).reshape(1, -1)
-        weight = np.log(self.weight).astype(np.float32).reshape(-1, 1 << BITS * (ORDER - 2), 1)
-        out = np.empty((weight.shape[0], lower.size), np.float32)
-        for first in range(len(out)):  # of each first character, the contexts that begin with it
-            np.add(weight[first], lower.reshape(weight.shape[1], -1), out=out[first].reshape(weight.shape[1], -1))
-        out = out.ravel()
-        out[self.seen] = self.logp
-        return out
-
-
-def surprise(texts: list[str | None], dense: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Negative log-probability and number of characters of each whole text."""
-    nll, n = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-    for at, part in chunks(texts):
-        ids, starts = grams(part, table)
-        sums = np.concatenate(([0.0], np.cumsum(dense[ids], dtype=np.float64)))
-        size = np.fromiter(map(len, part), np.int64, len(part))
-        nll[at : at + len(part)] = sums[starts] - sums[starts + size]
-        n[at : at + len(part)] = size
-    return nll, n
-
-
-def count(texts: DataFrame) -> DataFrame:
-    """``gram`` and ``n``: how often each 4-gram occurs in column ``text``, over all rows."""
+def grams(codes: np.ndarray) -> np.ndarray:
+    """The n-gram that starts at each place, as one integer."""
+    size = max(0, len(codes) - ORDER + 1)
+    ids = np.zeros(size, np.uint64)
+    for k in range(ORDER):
+        ids = (ids << np.uint64(UNIT)) | codes[k : k + size]
+    return ids
+
+
+class Distinct:
+    """The different n-grams of the texts it is shown: a bit for each pair of character pairs; a sorted list if there are too many pairs for that."""
+
+    def __init__(self):
+        self.char = np.full(ALPHABET, -1, np.int32)
+        self.pair = np.full(CHARS * CHARS, -1, np.int32)
+        self.chars, self.pairs = 0, np.zeros(0, np.uint64)
+        self.seen = np.zeros(PAIRS * PAIRS, bool)
+        self.more = np.zeros(0, np.uint64)
+
+    def add(self, codes: np.ndarray) -> None:
+        fresh = np.unique(codes[self.char[codes] < 0])
+        if self.chars + len(fresh) <= CHARS:
+            self.char[fresh] = np.arange(self.chars, self.chars + len(fresh))
+            self.chars += len(fresh)
+            small = self.char[codes]
+            key = small[:-1] * CHARS + small[1:]
+            new, first = np.unique(key[self.pair[key] < 0], return_index=True)
+            if len(self.pairs) + len(new) <= PAIRS:
+                at = np.flatnonzero(self.pair[key] < 0)[first]
+                self.pair[new] = np.arange(len(self.pairs), len(self.pairs) + len(new))
+                self.pairs = np.append(self.pairs, (codes[at].astype(np.uint64) << np.uint64(UNIT)) | codes[at + 1])
+                ids = self.pair[key]
+                self.seen[ids[:-2].astype(np.int64) * PAIRS + ids[2:]] = True
+                return
+        self.more = np.union1d(self.more, grams(codes))
+
+    def all(self) -> np.ndarray:
+        at = np.flatnonzero(self.seen)
+        both = (self.pairs[at // PAIRS] << np.uint64(2 * UNIT)) | self.pairs[at % PAIRS]
+        return np.union1d(both, self.more)
+
+
+class Answers:
+    """What a block has been told: the log-probability of each of its n-grams, found through character pairs or, beyond PAIRS of them, by halving."""
+
+    def __init__(self, gram: np.ndarray, logp: np.ndarray):
+        order = np.argsort(gram)
+        self.gram, self.logp, self.dense = gram[order], logp[order].astype(np.float32), None
+        first, last = (gram >> np.uint64(2 * UNIT)).astype(np.uint32), (gram & np.uint64((1 << 2 * UNIT) - 1)).astype(np.uint32)
+        pairs = np.unique(np.concatenate([first, last]))
+        chars = np.unique(np.concatenate([pairs >> UNIT, pairs & (ALPHABET - 1)]))
+        if len(chars) <= CHARS and len(pairs) <= PAIRS:
+            self.char = np.zeros(ALPHABET, np.int32)
+            self.char[chars] = np.arange(len(chars))
+            self.pair = np.zeros(CHARS * CHARS, np.int32)
+            self.pair[self.char[pairs >> UNIT] * CHARS + self.char[pairs & (ALPHABET - 1)]] = np.arange(len(pairs))
+            self.width = len(pairs)
+            self.dense = np.zeros(self.width * self.width, np.float32)
+            self.dense[np.searchsorted(pairs, first).astype(np.int64) * self.width + np.searchsorted(pairs, last)] = logp
+
+    def of(self, codes: np.ndarray) -> np.ndarray:
+        """Log-probabilities of the n-grams that start at each place; any number for those of no text."""
+        if self.dense is None:
+            return self.logp[np.minimum(np.searchsorted(self.gram, grams(codes)), len(self.gram) - 1)]
+        small = self.char[codes]
+        ids = self.pair[small[:-1] * CHARS + small[1:]]
+        return self.dense[ids[:-2].astype(np.int64) * self.width + ids[2:]]
+
+    def surprise(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Negative log-probability and number of characters of each whole text."""
+        nll, n = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+        for at, part in chunks(texts):
+            codes, starts = units(part)
+            sums = np.concatenate(([0.0], np.cumsum(self.of(codes), dtype=np.float64)))
+            size = np.fromiter(map(len, part), np.int64, len(part))
+            nll[at : at + len(part)] = sums[starts] - sums[starts + size]
+            n[at : at + len(part)] = size
+        return nll, n
+
+
+# ---------------------------------------------------------------------------------------------
+# blocks of file splits
+
+
+def filed(docs: DataFrame) -> DataFrame:
+    """``docs`` if it is read from files, whose splits make blocks, with no more than columns and rows left out; else a stored copy."""
+    plan = docs._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() in ("Project", "Filter"):
+        plan = plan.child()
+    return docs if "HadoopFsRelation" in plan.getClass().getName() or plan.nodeName() == "LogicalRelation" else stored(docs, "documents")
+
+
+def blocks(rows: int) -> int:
+    return max(1, math.ceil(rows / BLOCK_ROWS))
+
+
+def block_of(many: int) -> Column:
+    """The block of a row: its file split's, by a hash, so that a split is read by one task and never parted."""
+    return F.pmod(F.xxhash64("_metadata.file_path", "_metadata.file_block_start"), F.lit(many)).cast("int")
+
+
+def by_block(df: DataFrame, many: int, name: str) -> str:
+    """Write ``df`` (with ``block``) to a folder for each block; returns the path."""
+    path = scratch_path(df.sparkSession, name)
+    df.repartition(many, "block").write.partitionBy("block").parquet(path)
+    return path
+
+
+def of_block(path: str, block: int) -> pa.Table | None:
+    """What ``by_block`` wrote for a block; None if that is nothing. Runs in tasks, on any store that pyarrow reads."""
+    files, root = pa.fs.FileSystem.from_uri(re.sub("^(file:)?/+", "file:///", path))
+    folder = f"{root}/block={block}"
+    if files.get_file_info(folder).type == pa.fs.FileType.NotFound:
+        return None
+    return pa.dataset.dataset(folder, filesystem=files, format="parquet").to_table()
+
+
+# ---------------------------------------------------------------------------------------------
+# the model
+
+
+def count(docs: DataFrame, marked: str, many: int) -> DataFrame:
+    """``gram`` and ``n``: how often each n-gram occurs in the texts of the documents that each block's list in ``marked`` names."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table = classes()
-        ids, n = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        ids, n, at, chosen = np.zeros(0, np.uint64), np.zeros(0, np.int64), None, set()
         for batch in batches:
-            for _, part in chunks(batch["text"].tolist()):
-                got, starts = grams(part, table)
-                own = np.zeros(len(got) + 1, np.int32)
-                np.add.at(own, starts, 1)
-                np.add.at(own, starts + np.fromiter(map(len, part), np.int64, len(part)), -1)
-                one, c = np.unique(got[np.cumsum(own[:-1]) > 0], return_counts=True)
-                ids, inverse = np.unique(np.concatenate([ids, one]), return_inverse=True)
-                n = np.bincount(inverse, weights=np.concatenate([n, c]), minlength=len(ids)).astype(np.int64)
+            for block, mine in batch.groupby("block", sort=False):
+                if block != at:
+                    listed = of_block(marked, block)
+                    at, chosen = block, set(listed.column("key").to_pylist()) if listed is not None else set()
+                texts = [t for k, t in zip(mine["key"], mine["text"]) if k in chosen]
+                for _, part in chunks(texts):
+                    codes, starts = units(part)
+                    own = np.zeros(len(codes) + 1, np.int32)
+                    np.add.at(own, starts, 1)
+                    np.add.at(own, starts + np.fromiter(map(len, part), np.int64, len(part)), -1)
+                    got = grams(codes)
+                    one, c = np.unique(got[np.cumsum(own)[: len(got)] > 0], return_counts=True)
+                    ids, inverse = np.unique(np.concatenate([ids, one]), return_inverse=True)
+                    n = np.bincount(inverse, weights=np.concatenate([n, c]), minlength=len(ids)).astype(np.int64)
         if len(ids):
-            yield pd.DataFrame({"gram": ids.astype(np.int64), "n": n})
+            yield pd.DataFrame({"gram": ids.view(np.int64), "n": n})
 
-    return texts.select("text").mapInPandas(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    rows = docs.select(F.col("doc_id").cast("string").alias("key"), "text", block_of(many).alias("block")).filter("key IS NOT NULL AND text IS NOT NULL")
+    return rows.mapInPandas(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
 def _discounts(table: DataFrame) -> list[float]:
-    """Modified Kneser-Ney discounts for counts of 1, 2 and 3 or more, from the counts of counts."""
+    """Modified Kneser-Ney discounts for counts of 1, 2 and 3 or more, from the counts of counts; middling ones where there are no counts of 1 or 2."""
     found = {r["n"]: r["k"] for r in table.filter("n <= 4").groupBy("n").agg(F.count("*").alias("k")).collect()}
     n1, n2, n3, n4 = (found.get(i, 0) for i in (1, 2, 3, 4))
     if not n1 or not n2:
@@ -129,91 +205,152 @@ def _discounts(table: DataFrame) -> list[float]:
     return [min(max(d, 0.05), i + 0.95) for i, d in enumerate(raw)]
 
 
-def train(trusted: DataFrame) -> KneserNey:
-    """The model of column ``text``; of an empty table, the uniform one."""
-    spark = trusted.sparkSession
-    tables = [stored(count(trusted), "grams-4")]
+def suffix(gram: str, order: int) -> Column:
+    """The last ``order`` characters of an n-gram."""
+    return F.col(gram).bitwiseAND(F.lit((1 << UNIT * order) - 1))
+
+
+def context(gram: str) -> Column:
+    """All characters of an n-gram but the last."""
+    return F.shiftrightunsigned(F.col(gram), UNIT)
+
+
+@dataclass
+class KneserNey:
+    """Stored tables by order: ``seen`` (gram, p), the probabilities of n-grams that occur, ``weights`` (context, weight) of what is left to shorter ones; ``floor``: the probability of a character never seen."""
+
+    seen: dict[int, DataFrame]
+    weights: dict[int, DataFrame]
+    floor: float
+
+    def probabilities(self, asked: DataFrame) -> DataFrame:
+        """``gram`` and ``p`` for each of the different 4-grams of ``asked``, by joins from the longest order down."""
+        out = asked.select("gram")
+        p, left = F.lit(None).cast("double"), F.lit(1.0)
+        for order in range(ORDER, 0, -1):
+            seen = self.seen[order].select(F.col("gram").alias(f"g{order}"), F.col("p").alias(f"p{order}"))
+            out = out.withColumn(f"s{order}", suffix("gram", order) if order < ORDER else F.col("gram")).join(seen, F.col(f"s{order}") == F.col(f"g{order}"), "left")
+            p = F.coalesce(p, left * F.col(f"p{order}"))
+            if order > 1:
+                weights = self.weights[order].select(F.col("context").alias(f"c{order}"), F.col("weight").alias(f"w{order}"))
+                out = out.join(weights, context(f"s{order}") == F.col(f"c{order}"), "left")
+                left = left * F.coalesce(F.col(f"w{order}"), F.lit(1.0))
+        return out.select("gram", F.coalesce(p, left * self.floor).alias("p"))
+
+    def discard(self) -> None:
+        for table in (*self.seen.values(), *self.weights.values()):
+            discard(table)
+
+
+def train(counts: DataFrame) -> KneserNey:
+    """The model of a table of 4-gram counts (gram, n); of an empty one, the uniform model."""
+    tables = {ORDER: stored(counts, f"grams-{ORDER}")}
     for order in range(ORDER - 1, 0, -1):
         # Of the shorter n-grams: in how many different longer ones they end.
-        tables.append(stored(tables[-1].groupBy((F.col("gram") % (1 << BITS * order)).alias("gram")).agg(F.count("*").alias("n")), f"grams-{order}"))
-    tables.reverse()
-    lower = None  # gram, p of the order before
-    for order, table in enumerate(tables, 1):
-        d1, d2, d3 = _discounts(table)
-        context = F.shiftright("gram", BITS)
+        shorter = tables[order + 1].groupBy(suffix("gram", order).alias("gram")).agg(F.count("*").alias("n"))
+        tables[order] = stored(shorter, f"grams-{order}")
+    model = KneserNey({}, {}, 1.0 / ALPHABET)
+    for order in range(1, ORDER + 1):
+        d1, d2, d3 = _discounts(tables[order])
+        table = tables[order].withColumn("context", context("gram"))
         cut = F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3)
-        weights = table.groupBy(context.alias("context")).agg(F.sum("n").alias("total"), (F.sum(cut) / F.sum("n")).alias("weight"))
-        parts = table.withColumn("context", context).join(weights, "context").withColumn("own", (F.col("n") - cut) / F.col("total"))
+        weights = stored(table.groupBy("context").agg(F.sum("n").alias("total"), (F.sum(cut) / F.sum("n")).alias("weight")), f"weights-{order}")
+        parts = table.join(weights, "context").withColumn("own", (F.col("n") - cut) / F.col("total"))
         if order == 1:
-            p = parts.select("gram", (F.col("own") + F.col("weight") / (1 << BITS)).alias("p"))
+            p = parts.select("gram", (F.col("own") + F.col("weight") / ALPHABET).alias("p"))
+            only = weights.first()
+            model.floor = only["weight"] / ALPHABET if only else 1.0 / ALPHABET
         else:
             # Every suffix of a seen n-gram has been seen, so no row is lost.
-            suffix = lower.select(F.col("gram").alias("suffix"), F.col("p").alias("less"))
-            p = parts.withColumn("suffix", F.col("gram") % (1 << BITS * (order - 1))).join(suffix, "suffix").select("gram", (F.col("own") + F.col("weight") * F.col("less")).alias("p"))
-        lower = stored(p, f"probabilities-{order}")
-        weights = stored(weights, f"weights-{order}")
-        # At most 64 ** order rows.
-        seen, back = lower.toPandas(), weights.toPandas()
-        if order == 1:
-            dense = np.full(1 << BITS, 1.0 / (1 << BITS))
-            if len(back):
-                dense *= back["weight"].iloc[0]
-        else:
-            last = np.full(1 << BITS * (order - 1), 1.0)
-            last[back["context"].to_numpy(np.int64)] = back["weight"]
-            if order == ORDER:
-                at = np.argsort(seen["gram"].to_numpy(np.int64))
-                return KneserNey(seen["gram"].to_numpy(np.int64)[at], np.log(seen["p"].to_numpy(float))[at].astype(np.float32), last.astype(np.float64), dense)
-            size = 1 << BITS * order
-            ids = np.arange(size)
-            dense = last[ids >> BITS] * dense[ids % len(dense)]
-        dense[seen["gram"].to_numpy(np.int64)] = seen["p"]
-    raise AssertionError
+            less = model.seen[order - 1].select(F.col("gram").alias("suffix"), F.col("p").alias("less"))
+            p = parts.withColumn("suffix", suffix("gram", order - 1)).join(less, "suffix").select("gram", (F.col("own") + F.col("weight") * F.col("less")).alias("p"))
+        model.seen[order], model.weights[order] = stored(p, f"probabilities-{order}"), weights
+        discard(tables[order])
+    return model
 
 
-@dataclass
-class Quality:
-    """A model with each language's mean surprise a character, and its limit; under None those of all trusted text."""
+# ---------------------------------------------------------------------------------------------
+# scoring
 
-    model: KneserNey
-    mean: dict[str | None, float]
-    limit: dict[str | None, float]
-    prior: float
 
+def answers(docs: DataFrame, model: KneserNey, many: int, text: str = "text") -> str:
+    """Look up every block's different n-grams in the model; returns the path of the answers by block."""
 
-def perplexities(docs: DataFrame, model: KneserNey, text: str = "text", keep_text: bool = True) -> DataFrame:
-    """``docs`` with ``nll`` and ``chars``, one pass without a shuffle; columns of these names are replaced."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, held = None, None
+        for batch in batches:
+            for block, mine in batch.groupby("block", sort=False):
+                if block != at:
+                    if held is not None:
+                        yield pd.DataFrame({"block": at, "gram": held.all().view(np.int64)})
+                    at, held = block, Distinct()
+                for _, part in chunks(mine["text"].tolist()):
+                    held.add(units(part)[0])
+        if held is not None:
+            yield pd.DataFrame({"block": at, "gram": held.all().view(np.int64)})
+
+    rows = docs.select(F.col(text).alias("text"), block_of(many).alias("block")).filter("text <> ''")
+    asked = stored(rows.mapInPandas(run, "block int, gram long").distinct(), "asked")
+    told = stored(model.probabilities(asked.select("gram").distinct()).select("gram", F.log("p").cast("float").alias("logp")), "told")
+    path = by_block(asked.join(told, "gram").select("block", "gram", "logp"), many, "answers")
+    discard(asked)
+    discard(told)
+    return path
+
+
+def perplexities(docs: DataFrame, path: str, many: int, text: str = "text", keep_text: bool = True) -> DataFrame:
+    """``docs`` with ``nll`` and ``chars`` from its blocks' answers, one pass without a shuffle; columns of these names are replaced."""
     gone = {"nll", "chars"} | (set() if keep_text else {text})
-    source = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in gone), F.col(text).alias("__text"))
+    source = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in gone), F.col(text).alias("__text"), block_of(many).alias("__block"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        table, dense = classes(), model.dense()
+        at, told = None, None
         for batch in batches:
-            nll, n = surprise([t if isinstance(t, str) else None for t in batch["__text"]], dense, table)
-            yield batch.drop(columns="__text").assign(nll=nll, chars=n)
-
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields if f.name != "__text"), "nll double", "chars long"])
+            for block, mine in batch.groupby("__block", sort=False):
+                if block != at:
+                    table = of_block(path, block)
+                    at, told = block, None if table is None else Answers(table.column("gram").to_numpy().view(np.uint64), table.column("logp").to_numpy())
+                texts = [t if isinstance(t, str) else None for t in mine["__text"]]
+                nll, n = told.surprise(texts) if told is not None else (np.zeros(len(texts)), np.zeros(len(texts), np.int64))
+                yield mine.drop(columns=["__text", "__block"]).assign(nll=nll, chars=n)
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields if f.name[:2] != "__"), "nll double", "chars long"])
     return source.mapInPandas(run, schema)
 
 
-def fit(docs: DataFrame, trusted: DataFrame, quantile: float = 0.999, margin: float = 0.1, prior: float = 300.0, enough: int = 100) -> tuple[Quality, DataFrame]:
-    """The model from the documents whose doc_id is in ``trusted`` (distinct ids), its limits, and the scores (doc_id, lang, nll, chars).
+@dataclass
+class Quality:
+    """The documents (as files), the path and number of their blocks' answers, each language's mean surprise a character, and its limit; under None those of all."""
+
+    docs: DataFrame
+    path: str
+    many: int
+    mean: dict[str | None, float]
+    limit: dict[str | None, float]
+    prior: float
+
+
+def fit(docs: DataFrame, trusted: DataFrame, quantile: float = 0.999, margin: float = 0.01, prior: float = 300.0, enough: int = 30) -> tuple[Quality, DataFrame]:
+    """The answers for ``docs`` from the documents whose doc_id is in ``trusted`` (distinct ids), the limits, and the scores (doc_id, lang, nll, chars).
 
     Null ids are never trusted. Trusted texts that are null or empty teach nothing.
     """
-    ids = trusted.select(F.col("doc_id").alias("trusted_id")).filter("trusted_id IS NOT NULL").distinct()
-    match = F.col("doc_id") == F.col("trusted_id")
-    # Always a sort-merge join: the ids grow with the corpus, and the cost per document is the same at every size.
-    model = train(docs.select("doc_id", "text").filter("text IS NOT NULL").join(ids.hint("merge"), match, "left_semi"))
-    scores = stored(perplexities(docs.select("doc_id", "lang", "text"), model, keep_text=False), "surprise")
-    known = scores.filter("chars > 0").join(ids, match, "left_semi").select("lang", "nll", "chars")
-    means = known.groupBy("lang").agg(F.sum("nll").alias("nll"), F.sum("chars").alias("chars"), F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()
-    if len(means) > MOST_LANGUAGES:
-        raise ValueError(f"over {MOST_LANGUAGES} languages")
-    chars = sum(r["chars"] for r in means)
-    overall = sum(r["nll"] for r in means) / chars if chars else 0.0
-    mean = {r["lang"]: r["nll"] / r["chars"] for r in means if r["n"] >= enough and r["lang"] is not None} | {None: overall}
-    quality = Quality(model, mean, {}, prior)
+    docs = filed(docs)
+    many = blocks(docs.count())
+    ids = trusted.select(F.col("doc_id").cast("string").alias("key")).filter("key IS NOT NULL").distinct().withColumn("teaches", F.pmod(F.xxhash64("key"), F.lit(4)) > 0)
+    listed = docs.select(F.col("doc_id").cast("string").alias("key"), block_of(many).alias("block")).distinct().join(ids.filter("teaches"), "key").select("block", "key")
+    marked = by_block(listed, many, "trusted")
+    model = train(count(docs, marked, many))
+    path = answers(docs, model, many)
+    model.discard()
+    scores = stored(perplexities(docs.select("doc_id", "lang", "text"), path, many, keep_text=False), "surprise")
+    known = scores.filter("chars > 0").join(ids.filter("NOT teaches"), F.col("doc_id").cast("string") == F.col("key"), "left_semi").select("lang", "nll", "chars")
+    means = known.groupBy("lang").agg(F.sum("nll").alias("nll"), F.sum("chars").alias("chars"), F.count("*").alias("n"))
+    whole = means.agg(F.sum("nll").alias("nll"), F.sum("chars").alias("chars")).first()
+    overall = whole["nll"] / whole["chars"] if whole["chars"] else 0.0
+    # A row for each language with enough documents of its own.
+    mean = {r["lang"]: r["nll"] / r["chars"] for r in means.filter((F.col("n") >= enough) & F.col("lang").isNotNull()).collect()} | {None: overall}
+    quality = Quality(docs, path, many, mean, {}, prior)
     # Quantiles from histograms: a number of rows that depends on the spread of surprise, not on the corpus.
     bins = known.select("lang", F.floor(drawn(quality) / BIN).alias("bin")).groupBy("lang", "bin").agg(F.count("*").alias("n")).toPandas()
     for lang in mean:
@@ -224,12 +361,13 @@ def fit(docs: DataFrame, trusted: DataFrame, quantile: float = 0.999, margin: fl
 
 
 def by_language(values: dict[str | None, float]) -> Column:
-    out = None
-    for lang, v in values.items():
-        if lang is not None:
-            out = F.when(F.col("lang") == lang, v) if out is None else out.when(F.col("lang") == lang, v)
+    """The value of a row's language, of None if it has none of its own."""
+    named = {k: v for k, v in values.items() if k is not None}
     rest = F.lit(values.get(None)).cast("double")
-    return rest if out is None else out.otherwise(rest)
+    if not named:
+        return rest
+    table = F.map_from_arrays(F.array(*map(F.lit, named)), F.array(*(F.lit(v).cast("double") for v in named.values())))
+    return F.coalesce(F.try_element_at(table, F.coalesce("lang", F.lit(""))), rest)
 
 
 def drawn(q: Quality) -> Column:
@@ -238,10 +376,17 @@ def drawn(q: Quality) -> Column:
 
 
 def judge(scores: DataFrame, q: Quality) -> DataFrame:
-    """``scores`` (with lang, nll, chars) with ``perplexity``, ``threshold`` and ``keep``.
+    """``scores`` (with lang, nll, chars) with ``perplexity`` (the document's own), ``smoothed`` (drawn to its language's mean, what is judged), ``threshold`` and ``keep``.
 
     Null and empty texts have no perplexity and are not kept. If nothing was trusted, all else is kept.
     """
     some = F.col("chars") > 0
     limit = by_language(q.limit) if q.limit else F.lit(None).cast("double")
-    return scores.withColumns({"perplexity": F.when(some, F.exp(drawn(q))), "threshold": F.exp(limit), "keep": some & F.coalesce(drawn(q) <= limit, F.lit(True))})
+    return scores.withColumns(
+        {
+            "perplexity": F.when(some, F.exp(F.col("nll") / F.col("chars"))),
+            "smoothed": F.when(some, F.exp(drawn(q))),
+            "threshold": F.exp(limit),
+            "keep": some & F.coalesce(drawn(q) <= limit, F.lit(True)),
+        }
+    )

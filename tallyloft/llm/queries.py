@@ -171,4 +171,4 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels")
     model, scores = quality.fit(table(spark, sf_dir, "documents"), labels.filter("quality = 1"))
-    return quality.judge(scores, model).select("doc_id", "lang", "chars", "perplexity", "threshold", "keep")
+    return quality.judge(scores, model).select("doc_id", "lang", "chars", "perplexity", "smoothed", "threshold", "keep")
