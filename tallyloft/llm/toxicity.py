@@ -27,7 +27,7 @@ from tallyloft.llm.grams import buckets, chunks, inside, letter_table, stream
 
 ORDERS = (3, 4, 5, 6)
 FULL = 60  # n-grams of a full bag; a bag with fewer is filled up with zero vectors
-MOST_WORDS = 1 << 20  # words whose sums a task keeps
+MOST_WORDS = 1 << 17  # words whose sums a task keeps
 
 
 @dataclass
