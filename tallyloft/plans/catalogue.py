@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloft.functions import discovery, scores, text
-from tallyloft.operators import extract, planning
+from tallyloft.operators import cards, extract, planning
 from tallyloft.operators.latest import latest
 from tallyloft.plans.queries import LATEST, MARKET, OFF, SCORED, _scored, query
 from tallyloft.plans.search import Intent, grouped
+from tallyloft.sources.scan import Page, Policy, scan
 from tallyloft.sources.tables import observations, offers, table
 
 
@@ -308,3 +309,55 @@ def labelled_months(spark, sf_dir):
     said = F.element_at(F.array(F.concat(F.lit("x Mfg: "), month, F.lit(" 2019")), F.concat(F.lit("mfg - 2021 "), month), F.lit("Mfg year 2018, reg 2019"), F.lit("reg 2019")), (F.col("p_partkey") % 4 + 1).cast("int"))
     title = F.concat(F.element_at(F.array(F.lit("BMW x5 "), F.lit("Lexus ES 300h "), F.lit("Tata x50 ")), (F.col("p_partkey") % 3 + 1).cast("int")), F.when(F.col("p_partkey") % 2 == 0, "xDrive M Sport").otherwise("plain"))
     return table(spark, sf_dir, "part").select("p_partkey", text.labelled_month(said, "mfg").alias("month"), text.known_model(title).alias("model"), text.variant_of(title).alias("variant"))
+
+
+# ------------------------------------------------------------------ pages and scans
+MAKERS = ("BMW", "Mercedes-Benz", "Skoda", "Tata", "MG", "Rolls-Royce")
+
+
+def _made_pages(spark, sf_dir, html) -> DataFrame:
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").cast("long").alias("page_id"), F.concat(F.lit("https://dealer.example/stock/"), F.col("p_partkey").cast("string")).alias("url"), html.alias("html"))
+
+
+@query("card_listings", f"""SELECT p_partkey AS page_id, {BRAND_NAME_SQL} || ' ' || p_name AS title, CASE WHEN p_partkey % 7 < 6 THEN {BRAND_NAME_SQL} END AS brand, CASE WHEN p_partkey % 7 < 6 THEN p_name ELSE 'Kia ' || p_name END AS model,
+    CAST(5 + p_partkey % 90 AS DOUBLE) * CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE 100 END AS price_lakh, CAST(2015 + p_size % 8 AS INTEGER) AS year, CAST(10000 + p_size AS DOUBLE) AS km, 'Diesel' AS fuel, 'Pune' AS location, CASE WHEN p_size % 4 = 0 THEN 'demo' ELSE 'used' END AS condition,
+    'https://dealer.example/car/' || CAST(p_partkey AS VARCHAR) AS url FROM part""")
+def card_listings(spark, sf_dir):
+    """Cards of result pages by the layout of a site; cards of sold cars, of other hosts and repeats give nothing."""
+    key, size = F.col("p_partkey").cast("string"), F.col("p_size")
+    card = F.concat(
+        F.lit('<div class="x listing-post"><h3 class="title"><a href="/car/'), key, F.lit('#top">'), BRAND_NAME, F.lit(" "), "p_name", F.lit('</a></h3><b class="price">₹ '), (F.col("p_partkey") % 90 + 5).cast("string"),
+        F.when(F.col("p_partkey") % 2 == 0, " Lakh").otherwise(" Cr"), F.lit('</b><br><i class="date-car">Reg. '), (size % 8 + 2015).cast("string"), F.lit("</i><p>"), (size + 10000).cast("string"), F.lit(" km Diesel "),
+        F.when(size % 4 == 0, "demonstrator").otherwise(""), F.lit('</p><p class="location"> Pune </p><img src="/a/logo.png"><img src="/a.jpg"></div>'),
+    )
+    others = F.lit('<div class="listing-post"><h3 class="title"><a href="/car/s">Tata Sold</a></h3><b class="price">₹ 5 Lakh</b> 100 km Sold</div><div class="listing-post"><h3 class="title"><a href="https://other.example/c">Tata Far</a></h3><b class="price">₹ 5 Lakh</b> 100 km</div>')
+    pages = _made_pages(spark, sf_dir, F.concat(F.lit("<script>if (a < b) {}</script><div>"), card, card, others, F.lit("</div>")))
+    found = cards.listings(pages, lambda html, url: cards.cards(html, url, "luxuryride_cards", MAKERS))
+    return found.select("page_id", "title", "brand", "model", "price_lakh", "year", "km", "fuel", "location", "condition", "url")
+
+
+@query("detail_listings", f"""SELECT p_partkey AS page_id, {BRAND_NAME_SQL} AS brand, CAST(5 + p_partkey % 90 AS DOUBLE) AS price_lakh, CAST(2021 AS INTEGER) AS year, CAST(10000 + p_size AS DOUBLE) AS km FROM part WHERE p_partkey % 7 < 6 AND p_partkey % 5 > 0""")
+def detail_listings(spark, sf_dir):
+    """Pages of one vehicle: a price without year and mileage is no vehicle, and a catalogue's page is none either."""
+    price = F.concat(F.lit("Rs. "), (F.col("p_partkey") % 90 + 5).cast("string"), F.lit(",00,000"))
+    facts = F.when(F.col("p_partkey") % 5 > 0, F.concat(F.lit(" Mfg Year: 05/2021 Mileage: "), (F.col("p_size") + 10000).cast("string"), F.lit(" KM"))).otherwise(" call us")
+    pages = _made_pages(spark, sf_dir, F.concat(F.lit("<title>"), BRAND_NAME, F.lit(" "), F.col("p_name"), F.lit("</title><p>"), price, facts, F.lit("</p>")))
+    return cards.listings(pages, lambda html, url: cards.detail(html, url, MAKERS)).select("page_id", "brand", "price_lakh", "year", "km")
+
+
+def _stub(url: str) -> Page:
+    """A source in memory: nation n has n % 4 + 1 pages, its last one names the first as next; every seventh fails."""
+    _, _, _, n, page = url.split("/")
+    if int(n) % 7 == 5:
+        raise OSError("unreachable")
+    following = int(page) % (int(n) % 4 + 1) + 1
+    return Page(f'<p>page {page}</p><a rel="next" href="/{n}/{following}">more</a>')
+
+
+@query("scan_pages", """WITH n AS (SELECT n_name AS source, n_nationkey AS k, n_nationkey % 4 + 1 AS pages FROM nation), p AS (SELECT *, unnest(generate_series(1, CASE WHEN k % 7 = 5 THEN 1 ELSE least(3, pages) END)) AS page FROM n)
+  SELECT source, CAST(page AS INTEGER) AS page, 'https://site.example/' || CAST(k AS VARCHAR) || '/' || CAST(page AS VARCHAR) AS url, CASE WHEN k % 7 = 5 THEN 'failed' ELSE 'ok' END AS status, CAST(CASE WHEN k % 7 = 5 THEN 2 ELSE 1 END AS INTEGER) AS attempts,
+         CASE WHEN k % 7 = 5 THEN 'https://site.example/' || CAST(k AS VARCHAR) || '/1' WHEN page = 3 AND pages = 4 THEN 'https://site.example/' || CAST(k AS VARCHAR) || '/4' END AS continuation FROM p""")
+def scan_pages(spark, sf_dir):
+    """Sources walked page by page over a fetch function: bounded, safe against cycles, failures as rows, and where to go on."""
+    sources = table(spark, sf_dir, "nation").select(F.col("n_name").alias("source"), F.concat(F.lit("https://site.example/"), F.col("n_nationkey").cast("string"), F.lit("/1")).alias("start"))
+    return scan(sources, _stub, cards.next_page, Policy(pages=3, attempts=2, wait=0.0)).select("source", "page", "url", "status", "attempts", "continuation")
