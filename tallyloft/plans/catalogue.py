@@ -361,3 +361,54 @@ def scan_pages(spark, sf_dir):
     """Sources walked page by page over a fetch function: bounded, safe against cycles, failures as rows, and where to go on."""
     sources = table(spark, sf_dir, "nation").select(F.col("n_name").alias("source"), F.concat(F.lit("https://site.example/"), F.col("n_nationkey").cast("string"), F.lit("/1")).alias("start"))
     return scan(sources, _stub, cards.next_page, Policy(pages=3, attempts=2, wait=0.0)).select("source", "page", "url", "status", "attempts", "continuation")
+
+
+# ------------------------------------------------------------------ states of watches, probes, adapters and caches
+@query("watch_states", """WITH e AS (SELECT user_id AS watch_id, ts, event_id, CASE event_type WHEN 'error' THEN 'archived' WHEN 'view' THEN 'paused' ELSE 'active' END AS status FROM events),
+  a AS (SELECT watch_id, min(ts) AS gone FROM e WHERE status = 'archived' GROUP BY 1), l AS (SELECT *, row_number() OVER (PARTITION BY watch_id ORDER BY ts DESC, event_id DESC) AS n FROM e)
+  SELECT l.watch_id, CASE WHEN gone IS NOT NULL THEN 'archived' ELSE status END AS status, gone AS archived_at, sha256('token-' || CAST(l.watch_id AS VARCHAR)) AS token_hash FROM l LEFT JOIN a USING (watch_id) WHERE n = 1""")
+def watch_states(spark, sf_dir):
+    """What a log of changes leaves of each watch: archiving is final but deletes nothing, and only the token's hash is kept."""
+    status = F.when(F.col("event_type") == "error", "archived").when(F.col("event_type") == "view", "paused").otherwise("active")
+    log = table(spark, sf_dir, "events").select(F.col("user_id").alias("watch_id"), "ts", "event_id", status.alias("status"))
+    last = log.groupBy("watch_id").agg(F.max_by("status", F.struct("ts", "event_id")).alias("last"), F.min(F.when(F.col("status") == "archived", F.col("ts"))).alias("archived_at"))
+    return last.select("watch_id", F.when(F.col("archived_at").isNotNull(), "archived").otherwise(F.col("last")).alias("status"), "archived_at", F.sha2(F.concat(F.lit("token-"), F.col("watch_id").cast("string")), 256).alias("token_hash"))
+
+
+@query("fenced_finish", """WITH c AS (SELECT o_custkey AS probe, max(o_orderkey) AS attempt FROM orders WHERE o_orderstatus <> 'P' GROUP BY 1)
+  SELECT o_custkey AS probe, o_orderkey AS attempt, o_orderstatus AS outcome, o_orderkey = attempt AS accepted FROM orders JOIN c ON probe = o_custkey WHERE o_orderstatus = 'F'""")
+def fenced_finish(spark, sf_dir):
+    """A finished probe counts only for the attempt that holds the claim; results of attempts that were overtaken are refused, not lost."""
+    orders = table(spark, sf_dir, "orders")
+    claims = orders.filter("o_orderstatus <> 'P'").groupBy(F.col("o_custkey").alias("probe")).agg(F.max("o_orderkey").alias("claimed"))
+    done = orders.filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("probe"), F.col("o_orderkey").alias("attempt"), F.col("o_orderstatus").alias("outcome"))
+    return done.join(claims, "probe").select("probe", "attempt", "outcome", (F.col("attempt") == F.col("claimed")).alias("accepted"))
+
+
+@query("adapter_snapshot", """WITH a AS (SELECT s_nationkey % 7 AS adapter, s_suppkey AS version, s_acctbal > 0 AS verified, s_acctbal FROM supplier), r AS (SELECT *, row_number() OVER (PARTITION BY adapter ORDER BY version DESC) AS n FROM a WHERE verified)
+  SELECT n.adapter, r.version, r.s_acctbal AS score FROM (SELECT DISTINCT adapter FROM a) n LEFT JOIN r ON r.adapter = n.adapter AND r.n = 1""")
+def adapter_snapshot(spark, sf_dir):
+    """The latest verified adapter of each name; names without one stay, with nothing to show."""
+    rows = table(spark, sf_dir, "supplier").select((F.col("s_nationkey") % 7).alias("adapter"), F.col("s_suppkey").alias("version"), "s_acctbal")
+    sound = F.when(F.col("s_acctbal") > 0, F.col("version"))
+    return rows.groupBy("adapter").agg(F.max(sound).alias("version"), F.max_by("s_acctbal", sound).alias("score"))
+
+
+@query("cache_hits", f"""SELECT count(*) FILTER (WHERE age <= 15 AND size <= 512000) AS hits, count(*) FILTER (WHERE age > 15) AS stale, count(*) FILTER (WHERE age <= 15 AND size > 512000) AS too_large FROM (SELECT epoch((SELECT max(ts) FROM events) - ts) / 60 AS age, event_id * 997 % 600000 AS size FROM events)""")
+def cache_hits(spark, sf_dir):
+    """Entries that may be served: young enough and small enough; the rest are misses, and why."""
+    events = table(spark, sf_dir, "events")
+    now = events.agg(F.max("ts")).first()[0]
+    age = (F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) / 1e6 / 60
+    young, small = age <= 15, F.col("event_id") * 997 % 600_000 <= 512_000
+    return events.agg(F.count_if(young & small).alias("hits"), F.count_if(~young).alias("stale"), F.count_if(young & ~small).alias("too_large"))
+
+
+@query("stage_timing", """WITH s AS (SELECT user_id AS request, event_type AS stage, epoch(lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) - ts) AS took FROM events)
+  SELECT stage, count(took) AS runs, round(avg(took), 3) AS mean_s, round(max(took), 3) AS longest_s FROM s GROUP BY stage""")
+def stage_timing(spark, sf_dir):
+    """How long each stage of a request took: until the request's next stage began."""
+    following = F.lead("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    took = (F.unix_micros(following.cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))) / 1e6
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("stage"), took.alias("took"))
+    return rows.groupBy("stage").agg(F.count("took").alias("runs"), F.round(F.avg("took"), 3).alias("mean_s"), F.round(F.max("took"), 3).alias("longest_s"))

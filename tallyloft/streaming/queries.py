@@ -13,8 +13,11 @@ from tallyloft.streaming import streams
 
 
 def _folder(spark: SparkSession) -> str:
-    """The shared folder the session names; a temporary one only where none is named."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="tallyloft-")).rstrip("/")
+    """The shared folder the session names; only a local session may do without and take a temporary one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return (folder or "file://" + tempfile.mkdtemp(prefix="tallyloft-")).rstrip("/")
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:

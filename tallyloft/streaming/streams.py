@@ -8,6 +8,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -60,10 +61,11 @@ def breaker_stream(observations: DataFrame, threshold: int = 3) -> DataFrame:
     """Failures in a row, circuit and cooldown of each listing after each batch. Rows of a batch are taken in time order."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        streak = state.get[0] if state.exists else 0
         rows = pd.concat(list(frames)).sort_values(["observed_at", "observation_id"])
-        for failed in rows["negative"]:
-            streak = streak + 1 if failed else 0
+        failed = rows["negative"].eq(True).to_numpy()
+        good = np.flatnonzero(~failed)
+        # Failures since the last success, or all of them on top of what the state holds.
+        streak = int(len(failed) - 1 - good[-1]) if len(good) else len(failed) + (state.get[0] if state.exists else 0)
         state.update((streak,))
         open_ = streak >= threshold
         cooldown = min(360, 15 * 2 ** min(5, streak - threshold)) if open_ else None
