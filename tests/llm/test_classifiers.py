@@ -55,6 +55,63 @@ def test_gram_counts_against_plain_code():
     assert table_.shape == (3, 1024) and table_[1].sum() == 0 and table_[0].sum() == 2 + 3 + 2
 
 
+def plain_vector(text, idf, bits):
+    """Logarithmic counts of hashed n-grams times inverse document frequency, at unit length, as a dictionary."""
+    low = "".join(c if c.isalpha() else " " for c in f" {text.lower()} ")
+    found = [low[i : i + n] for n in language.ORDERS for i in range(len(low) - n + 1)]
+    found = Counter(bucket_of(g, bits) for g in found if (g.strip() if len(g) < 3 else " " not in g[1:-1]))
+    x = {b: math.log(1 + n) * float(idf[b]) for b, n in found.items()}
+    length = math.sqrt(sum(v * v for v in x.values()))
+    return {b: v / length for b, v in x.items()} if length else {}
+
+
+def test_nearest_centroid_against_plain_code(spark):
+    rng = np.random.default_rng(6)
+    words = {"en": ["the", "cat", "sat", "mat", "on", "dog"], "de": ["der", "hund", "und", "katze", "über", "ist"]}
+    rows = [(f"d{i}", " ".join(rng.choice(words[lang], int(rng.integers(3, 12)))), lang) for i, lang in enumerate(["en", "de"] * 30)]
+    df = spark.createDataFrame([*rows, (None, "the dog", "en"), ("z", None, "en"), ("y", "the", None)], "doc_id string, text string, lang string").repartition(4)
+    model = language.fit(df, bits=9, centroids=3, reject=0.05)
+    taught = [(t, lang) for _, t, lang in rows] + [("the dog", "en")]
+    df_counts = Counter(b for t, _ in taught for b in plain_vector(t, np.ones(512), 9))
+    idf = [math.log((1 + len(taught)) / (1 + df_counts[b])) + 1 for b in range(512)]
+    assert model.idf == pytest.approx(idf, rel=1e-5)
+    assert sorted(set(model.languages)) == ["de", "en"] and len(model.languages) == 6
+    assert np.linalg.norm(model.centroids, axis=1) == pytest.approx(np.ones(6), rel=1e-5)
+    cosines = lambda text: [sum(v * float(c[b]) for b, v in plain_vector(text, idf, 9).items()) for c in model.centroids]
+    for lang in ("de", "en"):
+        # A bound for each language: the cosine to the nearest own centroid that all but a few of its texts reach.
+        best = [max(c for c, name in zip(cosines(t), model.languages) if name == lang) for t, of in taught if of == lang]
+        mine = [float(n) for n, name in zip(model.near, model.languages) if name == lang]
+        assert mine == pytest.approx([float(np.quantile(best, 0.05))] * 3, abs=1e-4)
+    asked = [t for t, _ in taught] + ["dog und hund", "xyz qqq", "KATZE!"]
+    lang, score, far = model.predict(asked, grams.letter_table())
+    for i, t in enumerate(asked):
+        c = cosines(t)
+        assert lang[i] == model.languages[int(np.argmax(c))] and score[i] == pytest.approx(min(1, max(c)), abs=1e-4)
+        assert abs(max(c) - model.near[int(np.argmax(c))]) < 1e-4 or far[i] == (max(c) < model.near[int(np.argmax(c))])
+
+
+def test_clusters_against_plain_code():
+    rng = np.random.default_rng(3)
+    x = np.abs(rng.normal(0, 1, (40, 5)))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = x.tolist()
+    dot = lambda a, b: sum(p * q for p, q in zip(a, b))
+    mean = [sum(c) / len(rows) for c in zip(*rows)]
+    chosen = [max(range(40), key=lambda i: dot(rows[i], mean))]
+    while len(chosen) < 3:
+        chosen.append(min(range(40), key=lambda i: max(dot(rows[i], rows[j]) for j in chosen)))
+    centres = [rows[i] for i in chosen]
+    for _ in range(12):
+        of = [max(range(3), key=lambda j: dot(r, centres[j])) for r in rows]
+        for j in range(3):
+            mine = [r for r, o in zip(rows, of) if o == j]
+            if mine:
+                m = [sum(c) / len(mine) for c in zip(*mine)]
+                centres[j] = [v / math.sqrt(dot(m, m)) for v in m]
+    assert language.cluster(x, 3) == pytest.approx(np.array(centres), abs=1e-9)
+
+
 @need
 def test_toxicity_finds_labelled_and_spares_clean(spark):
     docs, labels = table(spark, SMALL.replace("0.01", "0.1"), "documents"), table(spark, SMALL.replace("0.01", "0.1"), "labels")

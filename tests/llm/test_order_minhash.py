@@ -129,3 +129,14 @@ def test_likeness_against_independent_orders():
         got = O.likeness(O.signature(code_points(base), size=4096), O.signature(code_points(other), size=4096))
         off.append(abs(got - want))
     assert max(off) < 0.04, off
+
+
+def test_many_rows_of_one_id_and_without_one(spark):
+    rows = [(7, "hot text")] * 40 + [(None, "no id")] * 30 + [(9, "first"), (1, "last")]
+    got = O.edited_likeness(spark.createDataFrame(rows, "doc_id long, text string").repartition(6)).collect()
+    assert len(got) == len(rows) and sum(r["doc_id"] == 7 for r in got) == 40 and sum(r["doc_id"] is None for r in got) == 30
+    prints = {}
+    for r in got:
+        prints.setdefault((r["doc_id"], r["n_chars"]), set()).add(r["fingerprint"])
+    assert all(len(x) == 1 for x in prints.values())
+    assert sum(r["near_next"] == 1 for r in got if r["doc_id"] == 7) == 39

@@ -52,3 +52,11 @@ def test_slices_add_up():
     assert len(set((total - want).tolist())) == 1 and total.min() >= 0
     for x in (0, 1, 7, -7, 12345, -12345):
         assert sum(d << p for p, d in B.digits(x)) == x
+
+
+def test_a_repeated_query_is_asked_by_its_least_vector(spark):
+    rows = [(0, [0.5, 1.0]), (0, [0.25, 2.0]), (1, [1.0, 1.0]), (2, [2.0, -1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for parts in (1, 3):
+        got = {tuple(r) for r in B.top_k(df.repartition(parts), df.filter("vec_id = 0").repartition(parts)).collect()}
+        assert got == {(0, 1, 1, (256 + 2048) * 1024), (0, 2, 2, (256 * 2 - 2048) * 1024)}

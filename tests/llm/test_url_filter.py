@@ -2,6 +2,8 @@ import fnmatch
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from tallyloft.llm import url_filter as U
 from tallyloft.llm.queries import URL_RULES
 
@@ -59,3 +61,14 @@ def test_globs_over_many_words():
 def test_empty_table(spark):
     df = spark.createDataFrame([], "page_id long, url string")
     assert U.filter_urls(df, URL_RULES).count() == 0
+
+
+def test_columns_of_the_results_names_are_replaced(spark):
+    df = spark.createDataFrame([(1, "http://a.net/x", "old", "old", "old", 5, "kept")], "page_id long, url string, host string, path string, rule string, verdict int, more string")
+    got = U.filter_urls(df, URL_RULES)
+    assert sorted(got.columns) == sorted(["page_id", "url", "more", "host", "path", "rule", "verdict"])
+    r = got.first()
+    assert (r["host"], r["path"], r["rule"], r["verdict"], r["more"]) == ("a.net", "/x", "net/", "block", "kept")
+    renamed = df.select("page_id", F.col("url").alias("host"), F.lit("z").alias("rule"))
+    r = U.filter_urls(renamed, URL_RULES, url="host").first()
+    assert (r["host"], r["path"], r["rule"], r["verdict"]) == ("a.net", "/x", "net/", "block")
