@@ -440,12 +440,16 @@ CELL = ["band", "key", "t1", "t2"]
 
 
 def dealt_cells(rows: DataFrame, tiles: DataFrame, columns: list[str]) -> DataFrame:
-    """``rows`` (band, key, node and ``columns``) dealt to their cells, sorted; a cell of several ``tiles`` is one task for each pair of tiles."""
+    """``rows`` (band, key, node and ``columns``) dealt to their cells, sorted; a cell is cut into tiles, and each pair of them met apart.
+
+    ``tiles``: the rows (``n``) and ``tiles`` of each cell.
+    """
     tiled = rows.join(tiles, ["band", "key"]).withColumn("tile", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     dealt = tiled.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
         "band", "key", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), (F.col("tile") > F.col("other")).cast("int").alias("side"), "node", *columns
     )
-    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(rows.count() / 2_000_000))
+    many = tiles.agg(F.sum(F.col("n") * F.col("tiles"))).first()[0] or 0
+    n = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), math.ceil(many / 2_000_000))
     return dealt.repartition(n, *CELL).sortWithinPartitions(*CELL, "side", "node")
 
 
@@ -516,7 +520,7 @@ def links_inside(cells: DataFrame, nodes: DataFrame, keys: DataFrame, cell_rows:
     own = [f"b{i}" for i in range(BANDS)]
     rows = keys.join(cells, ["band", "key"], "left_semi").join(nodes, "node")
     weight = F.greatest(F.count("*") / cell_rows, F.sum(F.length("h")) / TILE_BYTES)
-    tiles = stored(rows.groupBy("band", "key").agg(F.ceil(weight).cast("int").alias("tiles")), "tiles")
+    tiles = stored(rows.groupBy("band", "key").agg(F.ceil(weight).cast("int").alias("tiles"), F.count("*").alias("n")), "tiles")
     dealt = dealt_cells(rows, tiles, ["label", "h", *own])
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
