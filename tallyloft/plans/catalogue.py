@@ -23,9 +23,9 @@ def _first(column: str, classes: dict[str, tuple[str, ...]], other: str) -> str:
 
 
 def _one_of(words: tuple[str, ...], key: str):
-    """The word that a key picks, as a column and as SQL."""
+    """The word that a key picks, as a function that makes its column (which needs a session) and as SQL."""
     listed = ", ".join(f"'{w}'" for w in words)
-    return F.element_at(F.array(*map(F.lit, words)), (F.col(key) % len(words) + 1).cast("int")), f"list_extract([{listed}], CAST({key} % {len(words)} + 1 AS INTEGER))"
+    return lambda: F.element_at(F.array(*map(F.lit, words)), (F.col(key) % len(words) + 1).cast("int")), f"list_extract([{listed}], CAST({key} % {len(words)} + 1 AS INTEGER))"
 
 
 # ------------------------------------------------------------------ discovery
@@ -40,7 +40,7 @@ FOUND_SQL = f"""found AS (SELECT s_suppkey, {TITLE_SQL} AS title, {MAKER_SQL} AS
 
 def _found(spark, sf_dir) -> DataFrame:
     scheme = F.when(F.col("s_suppkey") % 11 == 0, "ftp").otherwise("https")
-    return table(spark, sf_dir, "supplier").select("s_suppkey", TITLE.alias("title"), MAKER.alias("maker"), F.concat(scheme, F.lit("://site.example"), PATH).alias("url"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", TITLE().alias("title"), MAKER().alias("maker"), F.concat(scheme, F.lit("://site.example"), PATH()).alias("url"))
 
 
 @query("source_class", f"""WITH {FOUND_SQL}, judged AS (SELECT *, {_first('words', discovery.TYPE_WORDS, 'unknown')} AS source_type, {_first('words', discovery.CONDITION_WORDS, 'both')} AS condition FROM said)
@@ -70,21 +70,21 @@ BRAND_NAME, BRAND_NAME_SQL = _one_of(("BMW", "Mercedes-Benz", "Skoda", "Tata", "
 
 @query("brand_segments", f"""SELECT brand, segment, count(*) AS n FROM (SELECT {BRAND_NAME_SQL} AS brand, CASE WHEN p_partkey % 7 IN (0, 1, 5) THEN 'luxury' WHEN p_partkey % 7 IN (2, 4) THEN 'premium' ELSE 'mass_market' END AS segment FROM part) GROUP BY brand, segment""")
 def brand_segments(spark, sf_dir):
-    return table(spark, sf_dir, "part").select(BRAND_NAME.alias("brand")).groupBy("brand", discovery.segment(F.col("brand")).alias("segment")).agg(F.count("*").alias("n"))
+    return table(spark, sf_dir, "part").select(BRAND_NAME().alias("brand")).groupBy("brand", discovery.segment(F.col("brand")).alias("segment")).agg(F.count("*").alias("n"))
 
 
 @query("catalogue_names", f"""SELECT p_partkey, CASE p_partkey % 5 WHEN 3 THEN NULL ELSE p_name END AS model FROM part""")
 def catalogue_names(spark, sf_dir):
     """Labels as catalogues write them: with the brand before, a price or stars behind, or a word that the model is gone."""
-    spelt = F.when(F.col("p_partkey") % 2 == 0, F.upper(BRAND_NAME)).otherwise(F.replace(BRAND_NAME, F.lit("-"), F.lit(" ")))
+    spelt = F.when(F.col("p_partkey") % 2 == 0, F.upper(BRAND_NAME())).otherwise(F.replace(BRAND_NAME(), F.lit("-"), F.lit(" ")))
     tail = F.element_at(F.array(F.lit(""), F.lit(" ₹ 12.5 - 18 Lakh*"), F.lit(" *"), F.lit(" (Discontinued)"), F.lit(" Rs. 1,20,000 ")), (F.col("p_partkey") % 5 + 1).cast("int"))
     label = F.concat(spelt, F.lit("  "), F.col("p_name"), tail)
-    return table(spark, sf_dir, "part").select("p_partkey", discovery.catalogue_name(label, BRAND_NAME).alias("model"))
+    return table(spark, sf_dir, "part").select("p_partkey", discovery.catalogue_name(label, BRAND_NAME()).alias("model"))
 
 
 @query("query_parts", f"""SELECT p_partkey, CASE WHEN p_partkey % 7 < 6 THEN {BRAND_NAME_SQL} END AS brand, CASE WHEN p_partkey % 7 < 6 THEN lower(p_type) ELSE 'kia ' || lower(p_type) END AS model FROM part""")
 def query_parts(spark, sf_dir):
-    asked = F.concat(F.lower(BRAND_NAME), F.lit("  "), F.col("p_type"))
+    asked = F.concat(F.lower(BRAND_NAME()), F.lit("  "), F.col("p_type"))
     parts = discovery.split_query(asked, ("BMW", "Mercedes-Benz", "Skoda", "Tata", "MG", "Rolls-Royce"))
     return table(spark, sf_dir, "part").select("p_partkey", parts.alias("q")).select("p_partkey", "q.brand", "q.model")
 
@@ -326,7 +326,7 @@ def card_listings(spark, sf_dir):
     """Cards of result pages by the layout of a site; cards of sold cars, of other hosts and repeats give nothing."""
     key, size = F.col("p_partkey").cast("string"), F.col("p_size")
     card = F.concat(
-        F.lit('<div class="x listing-post"><h3 class="title"><a href="/car/'), key, F.lit('#top">'), BRAND_NAME, F.lit(" "), "p_name", F.lit('</a></h3><b class="price">₹ '), (F.col("p_partkey") % 90 + 5).cast("string"),
+        F.lit('<div class="x listing-post"><h3 class="title"><a href="/car/'), key, F.lit('#top">'), BRAND_NAME(), F.lit(" "), "p_name", F.lit('</a></h3><b class="price">₹ '), (F.col("p_partkey") % 90 + 5).cast("string"),
         F.when(F.col("p_partkey") % 2 == 0, " Lakh").otherwise(" Cr"), F.lit('</b><br><i class="date-car">Reg. '), (size % 8 + 2015).cast("string"), F.lit("</i><p>"), (size + 10000).cast("string"), F.lit(" km Diesel "),
         F.when(size % 4 == 0, "demonstrator").otherwise(""), F.lit('</p><p class="location"> Pune </p><img src="/a/logo.png"><img src="/a.jpg"></div>'),
     )
@@ -341,7 +341,7 @@ def detail_listings(spark, sf_dir):
     """Pages of one vehicle: a price without year and mileage is no vehicle, and a catalogue's page is none either."""
     price = F.concat(F.lit("Rs. "), (F.col("p_partkey") % 90 + 5).cast("string"), F.lit(",00,000"))
     facts = F.when(F.col("p_partkey") % 5 > 0, F.concat(F.lit(" Mfg Year: 05/2021 Mileage: "), (F.col("p_size") + 10000).cast("string"), F.lit(" KM"))).otherwise(" call us")
-    pages = _made_pages(spark, sf_dir, F.concat(F.lit("<title>"), BRAND_NAME, F.lit(" "), F.col("p_name"), F.lit("</title><p>"), price, facts, F.lit("</p>")))
+    pages = _made_pages(spark, sf_dir, F.concat(F.lit("<title>"), BRAND_NAME(), F.lit(" "), F.col("p_name"), F.lit("</title><p>"), price, facts, F.lit("</p>")))
     return cards.listings(pages, lambda html, url: cards.detail(html, url, MAKERS)).select("page_id", "brand", "price_lakh", "year", "km")
 
 

@@ -2,7 +2,10 @@
 
 import math
 import os
+import subprocess
+import sys
 from datetime import datetime
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -49,3 +52,8 @@ def test_entry_and_registries(spark):
     assert entry.entry(spark).count() >= 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert set(library.QUERIES) <= set(entry.queries())
+
+
+def test_the_registry_needs_no_session():
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries())"
+    subprocess.run([sys.executable, "-c", code], cwd=Path(entry.__file__).parent, check=True, timeout=120)
