@@ -52,11 +52,9 @@ def alternate(df: DataFrame, column: str, turns: tuple[str, str], order: list[st
     """
     rank = F.row_number().over(Window.partitionBy(column).orderBy(*order))
     kept = df.filter(F.col(column).isin(*turns)).withColumn("__rank", rank).filter(F.col("__rank") <= limit)
-    sizes = df.agg(*(F.count_if(F.col(column) == t).alias(f"__n{i}") for i, t in enumerate(turns)))
-    both = kept.join(F.broadcast(sizes))  # one row
-    fewer = F.least("__n0", "__n1")
+    fewer = min(df.agg(*(F.count_if(F.col(column) == t) for t in turns)).first())
     slot = F.when(F.col("__rank") <= fewer, 2 * F.col("__rank") - (F.col(column) == turns[0]).cast("int")).otherwise(fewer + F.col("__rank"))
-    return both.withColumn("slot", slot.cast("long")).filter(F.col("slot") <= limit).select(*df.columns, "slot")
+    return kept.withColumn("slot", slot.cast("long")).filter(F.col("slot") <= limit).select(*df.columns, "slot")
 
 
 def deferred(jobs: DataFrame, blocked: Column, delay: str = "INTERVAL 1 MINUTE") -> DataFrame:
