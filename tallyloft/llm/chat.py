@@ -10,7 +10,7 @@ and the longest turn that is not a window of its own, and at least a quarter of
 budget unless a single turn or system turn is too long, and no conversation falls apart into a window a turn.
 
 Sums are taken in stretches of turn numbers, then over the stretches, so no task holds the sum of a long
-conversation; a turn's text moves once to its stretch and once to the windows that show it.
+conversation; texts move to their stretch (once for its sums, once beside them) and once to the windows that show them.
 
 Control strings inside texts are escaped by a backslash after their first character; if backslashes
 already stand there, by one more. That is undone exactly. In roles, backslashes and line ends are
@@ -83,7 +83,6 @@ def windows(conversations: DataFrame, budget: int = 2048, history: int = 256) ->
     # A row for each stretch, with what the stretches before and after it add.
     opening = F.col("in_n") == 0
     stretches = rows.groupBy("c", "stretch").agg(
-        F.first("conv_id").alias("any_id"),  # read here too, so that both readers of the turns share one exchange
         F.count("*").alias("n"),
         F.sum("length").alias("sum"),
         F.coalesce(F.sum(small), F.lit(0)).alias("small"),
