@@ -65,13 +65,16 @@ def ordering(sort: str) -> list[Column]:
     return [ORDERS[sort](), F.col("price_lakh").asc_nulls_last(), F.col("observed_at").desc_nulls_last(), F.col("vehicle_id").asc(), F.col("price_basis").asc()]
 
 
-def page(df: DataFrame, sort: str, limit: int, offset: int = 0) -> DataFrame:
-    """A page with ``result_order``; only offset + limit rows are ever gathered. Limits are held to 1..2000 and 0..1,000,000."""
+def page(df: DataFrame, sort: str, limit: int, offset: int = 0, total: int | None = None) -> DataFrame:
+    """A page with ``result_order``; only offset + limit rows are ever gathered. Limits are held to 1..2000 and 0..1,000,000.
+
+    With the ``total`` known, a page may start anywhere up to it, and one past the last result is empty and ranks nothing.
+    """
     from pyspark.sql import Window
 
-    limit, offset = max(1, min(2000, limit)), max(0, min(1_000_000, offset))
+    limit, offset = max(1, min(2000, limit)), max(0, min(max(1_000_000, total or 0), offset))
     order = ordering(sort)
-    top = df.orderBy(*order).limit(offset + limit)
+    top = df.orderBy(*order).limit(0 if total is not None and offset >= total else offset + limit)
     return top.withColumn("result_order", F.row_number().over(Window.orderBy(*order))).filter(F.col("result_order") > offset)
 
 

@@ -375,3 +375,10 @@ def test_offers_judged_ahead_give_what_their_pairs_do(spark):
     want = deals.evaluated(pairs, rules, *by)
     got = deals.judged_pairs(deals.judged_ahead(pairs, rules, "budget", *by), rules["budget"]).select(*want.columns)
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_a_page_past_over_a_million_results_is_empty(spark):
+    df = spark.range(1_000_020).select(F.col("id").alias("vehicle_id"), F.lit("on_road").alias("price_basis"), F.col("id").cast("double").alias("price_lakh"), F.lit(0).alias("observed_at"))
+    assert O.page_with_total(df, O.page(df, "price", 10, 1_000_020, 1_000_020)).select("total_count", "vehicle_id").collect() == [(1_000_020, None)]
+    assert [r["vehicle_id"] for r in O.page(df, "price", 10, 1_000_015, 1_000_020).collect()] == list(range(1_000_015, 1_000_020))
+    assert O.page(df.limit(20), "price", 10, 15, 20).count() == 5
