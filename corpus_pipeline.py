@@ -30,6 +30,8 @@ def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, that of the smallest id, of each group of near copies: five-word shingles, a similarity of 0.8 or more.
 
+    Candidates are what the self-join of the SimHash trie joins and, since edits can move more bits than it allows, what shares a MinHash key.
+
     Documents without an id stay; those without a word are copies of each other. Different texts under one id are different documents.
     """
     first = simhash.near_copies(docs.select("doc_id", "text")).filter("head").select("doc_id", F.col("hash").alias("__hash"))

@@ -12,10 +12,11 @@ is dealt into tiles, and pairs of tiles are walked in separate tasks. Inside a t
 fingerprints are already known to be one class are not compared again, and a task returns a
 spanning forest, never all pairs. Classes come from star contraction over stored tables.
 
-Word edits move a fingerprint of long shingles by more bits than any trie can allow. ``near_copies``
-therefore takes as candidates the texts that share one of BANDS keys, each made of BAND_ROWS minima of hashes
-of the different five-word shingles: how often a pair is reached depends on its similarity alone, not on its
-length or on what was edited. A cell, the texts of one key, gives a minimum spanning forest by a 512-bit SimHash
+``near_copies`` takes the classes of this join, over fingerprints of five-word shingles, as its first cells.
+Word edits move a fingerprint of long shingles by more bits than any trie can allow, so beside them candidates
+are the texts that share one of BANDS keys, each made of BAND_ROWS minima of hashes of the different five-word
+shingles: how often a pair is reached there depends on its similarity alone, not on its length or on what was
+edited. A cell, the texts of one class or key, gives a minimum spanning forest by a 512-bit SimHash
 of the same shingles, cut at a loose bound and at set sizes that cannot be alike. A link counts only if the shingle
 sets of the two texts themselves are alike by 0.8 or more: a first round tests one close pair a text, and a second
 one goes into each cell whose forest still joins two classes, with the shingle sets, and tests all its pairs there.
@@ -339,6 +340,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", shingle: int = 3, budge
 SKETCH_WORDS, LOOSE, LOOSE_FEW, FEW = 8, 118, 132, 24
 # Texts of similarity J share a key with probability 1 - (1 - J ** BAND_ROWS) ** BANDS: 0.9998 at 0.8.
 BANDS, BAND_ROWS = 16, 4
+TRIE = BANDS  # the band of the trie's classes, after the keys' bands
 TILE_BYTES = 24 << 20  # of shingle hashes in a tile of the second round
 _SEEDS = mix64(np.arange(1, 2 * BANDS * BAND_ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).reshape(2, -1, 1)
 
@@ -574,7 +576,17 @@ def alike(pairs: DataFrame, texts: DataFrame, shingle: int, similarity: float) -
     return good
 
 
-def near_copies(docs: DataFrame, text: str = "text", shingle: int = 5, similarity: float = 0.8, cell_rows: int = 1024) -> DataFrame:
+def trie_classes(reps: DataFrame, budget: int) -> DataFrame:
+    """``node`` and ``key``, a number of its class, of ``reps`` (node, fp) whose fingerprints the trie joins with another's; equal ones are one row of the join."""
+    prints = stored(reps.groupBy("fp").agg(F.min("node").alias("rep"), F.count("*").alias("n")), "fingerprints")
+    roots = components(near_links(prints.select("fp", "rep"), budget))
+    keyed = prints.join(roots, prints["rep"] == roots["node"], "left").filter("n > 1 OR root IS NOT NULL").select("fp", F.coalesce("root", "rep").alias("key"))
+    classes = stored(reps.join(keyed, "fp").select("node", "key"), "trie-classes")
+    discard(prints)
+    return classes
+
+
+def near_copies(docs: DataFrame, text: str = "text", shingle: int = 5, similarity: float = 0.8, cell_rows: int = 1024, budget: int = 3) -> DataFrame:
     """``doc_id``, ``hash`` of the text and ``component_id`` (smallest doc_id of its class) of documents that are near copies of each other.
 
     Near copies: sets of five-word shingles alike by ``similarity`` or more, or joined by a chain of such pairs. Rows
@@ -587,7 +599,9 @@ def near_copies(docs: DataFrame, text: str = "text", shingle: int = 5, similarit
     sketch = [f"s{i}" for i in range(SKETCH_WORDS)]
     head = F.min(F.struct("doc_id", "hash")).alias("head")
     reps = stored(sigs.groupBy("node").agg(head, *(F.first(c).alias(c) for c in ("size", *banded, *sketch))), "representatives")
-    keys = reps.select("node", F.posexplode(F.array(*banded)).alias("band", "key"))
+    # s0 is the SimHash of 64 bits: what the trie joins within the budget is the first cell of a text, its keys are the others.
+    joined = trie_classes(reps.select("node", F.col("s0").alias("fp")), budget)
+    keys = joined.select("node", F.lit(TRIE).alias("band"), "key").union(reps.select("node", F.posexplode(F.array(*banded)).alias("band", "key")))
     where = reps.select("node", F.col("head.doc_id").alias("d"), F.col("head.hash").alias("h"))
     own = docs.select(F.col("doc_id").cast("long").alias("d"), F.xxhash64(text).alias("h"), F.col(text).alias("__text"))
     # The rows of one (doc_id, hash) hold one text.
@@ -613,7 +627,7 @@ def near_copies(docs: DataFrame, text: str = "text", shingle: int = 5, similarit
     roots = stored(components(good.union(more)), "roots")
     classes = labelled(reps.select("node", "head"), "node", "label")
     classes = stored(classes.join(classes.groupBy("label").agg(F.min("head").alias("first")), "label").select("node", "first"), "classes")
-    for done in (edges, tested, good, more, torn, roots, reps):
+    for done in (edges, tested, good, more, torn, roots, joined, reps):
         discard(done)
     head = (F.col("doc_id") == F.col("first.doc_id")) & (F.col("hash") == F.col("first.hash"))
     return sigs.select("doc_id", "hash", "node").distinct().join(classes, "node").select("doc_id", "hash", F.col("first.doc_id").alias("component_id"), head.alias("head"))

@@ -3,8 +3,10 @@ import random
 
 import pytest
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as C
-from tallyloft.llm import mixing
+from tallyloft.llm import mixing, simhash
 from tallyloft.llm.common import stored, table
 
 
@@ -90,3 +92,22 @@ def test_mixed_rows_come_in_the_order_of_the_mixture(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(7)
     want = [(r["slot"], r["place"], r["doc_id"]) for r in mixing.mix(df, power=C.POWER).collect()]
     assert [r["doc_id"] for r in C.mix_sources(spark, df, "").collect()] == [w[2] for w in sorted(want)]
+
+
+def test_near_dedup_finds_copies_by_its_simhash_trie_without_any_minhash_key(spark, monkeypatch):
+    """Keys that no two texts share leave what the trie joins, and each of its links is tested by the sets."""
+    rng = random.Random(8)
+    base = [" ".join(f"w{rng.randrange(5000)}" for _ in range(900)) for _ in range(12)]
+    rows = [(i, t) for i, t in enumerate(base)] + [(100 + i, t + " end") for i, t in enumerate(base)]
+    near = {100 + i for i, t in enumerate(base) if (simhash.fingerprint(t, 5) ^ simhash.fingerprint(t + " end", 5)).bit_count() <= 3}
+    assert len(near) > 6
+    real = simhash.signatures
+
+    def keyless(docs, text="text", shingle=5):
+        out = real(docs, text, shingle)
+        return out.select(*(F.xxhash64("node", F.lit(c)).alias(c) if c[0] == "b" else F.col(c) for c in out.columns))
+
+    monkeypatch.setattr(simhash, "signatures", keyless)
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'en' AS lang", "'s' AS source", "1L AS n_chars")
+    kept = {r["doc_id"] for r in C.keep_one_of_each_group(spark, df, "").collect()}
+    assert kept == {i for i, _ in rows} - near
